@@ -1,0 +1 @@
+"""Spark operators for interval-shaped and evidence-shaped data."""
