@@ -1,57 +1,17 @@
-"""What the operators share: tables in the shared folder, word rules, connected components.
-
-Nothing here brings rows to the driver. Intermediate results that are read more than once, or that end a round of an
-iteration, are written as Parquet below ``spark.checkpoint.dir``, so a lost executor costs at most one round.
-"""
+"""What the operators share: word rules, and the package's scratch tables and connected components by short names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters between words: space and tab to carriage return.
-BLANK = r"[\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests on one machine), a temporary folder is set once."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-class Scratch:
-    """Tables of one run of an operator, in a folder of its own."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+from ..operators.graph import connected_components
+from ..tables import Scratch, shared_folder
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """df, written and read again; its path is in the attribute scratch_path."""
-        self.n += 1
-        path = f"{self.root}/{self.n}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
+__all__ = ["BLANK", "Scratch", "connected_components", "remainder", "shared_folder", "words"]
 
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            self.remove(t.scratch_path)
-
-    def close(self) -> None:
-        """Delete all tables of this run; only once nothing reads them any more."""
-        self.remove(self.root)
-
-    def remove(self, path: str) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+#: Characters between words: space and tab to carriage return.
+BLANK = r"[\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
@@ -62,36 +22,3 @@ def words(text: Column) -> Column:
 def remainder(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m
-
-
-def checksum(edges: DataFrame) -> tuple:
-    """Count and order-free sum of the rows, to see whether a round changed anything."""
-    h = F.xxhash64("u", "v").cast("decimal(20,0)")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(h)).first())
-
-
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for every node of an edge; the component is its smallest node.
-
-    edges: columns u, v of one ordered type; loops, repeats and either direction are allowed. Alternates a large-star and
-    a small-star step, each one aggregation and one join, and writes the edges after each round. Every table that a join
-    reads comes from storage, so both sides are shuffled for the join and adaptive execution can split a hub's rows.
-    """
-    flat = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    e = scratch.table(flat.distinct(), "edges")
-    before = checksum(e)
-    while before[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = scratch.table(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        scratch.drop(low)
-        low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        met = large.join(low, "u")
-        pairs = met.select("u", F.col("m").alias("v")).union(met.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = scratch.table(pairs.where("u <> v").distinct(), "small")
-        scratch.drop(low, large, e)
-        e, after = small, checksum(small)
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
