@@ -12,9 +12,12 @@ gives no sequence. A sequence id is the task's number in the high bits and a run
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,51 +27,112 @@ from pyspark.sql import DataFrame, SparkSession
 END = 2
 WINDOW = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Splits a text where the tokenizer drops white space anyway, so that a word's ids can be remembered.
-SPACES = str.maketrans("\t\n\r\x0b\x0c", "     ")
+#: Stands between words that are encoded together: a control character, one token; words that hold it are encoded alone.
+BETWEEN = "\x01"
+TOGETHER = 256
 
 
 class WordCache:
-    """Token ids of texts, from remembered ids of their words. At ``limit`` words the memory starts anew."""
+    """Token ids of texts, from remembered ids of their words. Beyond ``limit`` words the later half is forgotten.
 
-    def __init__(self, tokenizer_file: str, end: int = END, limit: int = 400_000):
-        from tokenizers import Tokenizer
+    The tokenizer drops white space and takes A-Z as a-z, so a text's ids are those of its words in turn.
+    """
+
+    def __init__(self, tokenizer_file: str, end: int = END, limit: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
+        # Words come with A-Z as a-z and without white space, so there is nothing to normalise in plain ones.
+        self.plain = Tokenizer.from_file(tokenizer_file)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = normalizers.Sequence([])
         self.end, self.limit = end, limit
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.first, self.count, self.used = np.zeros(self.limit, np.int64), np.zeros(self.limit, np.int64), 0
-
-    def _learn(self, new: list[str]) -> None:
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            k, ids = len(self.number), e.ids
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            if k == len(self.first):
-                self.first, self.count = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.first, self.count))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.first[k], self.count[k], self.number[w] = self.used, len(ids), k
-            self.used += len(ids)
-
-    def ids(self, text: str | None) -> np.ndarray:
+        self.between = np.array(self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids, np.uint32)
+        self.number: dict[bytes, int] = {}
+        self.flat, self.first, self.count, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def _forget(self) -> None:
+        """Keep the half that was learned first: common words come early."""
+        kept = self.limit // 2
+        self.number = {w: k for w, k in self.number.items() if k < kept}
+        self.used = int(self.first[kept])
+
+    def _encoded(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words, one after the other, and how many each has."""
+        if len(words) > 1 and not any(BETWEEN in w for w in words):
+            ids = np.array(tokenizer.encode_batch_fast([f" {BETWEEN} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            k = len(self.between)
+            hit = np.ones(max(0, len(ids) - k + 1), bool)
+            for j, x in enumerate(self.between):
+                hit &= ids[j : j + len(hit)] == x
+            at = np.flatnonzero(hit)
+            if len(at) == len(words) - 1:
+                gone = (at[:, None] + np.arange(k)).ravel()
+                n = np.diff(np.concatenate(([-k], at, [len(ids)]))) - k
+                return np.delete(ids, gone), n
+        each = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each], np.int64)
+
+    def learn(self, new: list[bytes]) -> None:
+        for tokenizer, words in ((self.plain, [w for w in new if w.isascii()]), (self.tokenizer, [w for w in new if not w.isascii()])):
+            for k in range(0, len(words), TOGETHER):
+                part = words[k : k + TOGETHER]
+                self._keep(part, *self._encoded([w.decode("utf-8", "replace") for w in part], tokenizer))
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        known, used = len(self.number), self.used
+        if used + len(ids) > len(self.flat):
+            self.flat = _room(self.flat, used + len(ids))
+        if known + len(words) > len(self.first):
+            self.first, self.count = _room(self.first, known + len(words)), _room(self.count, known + len(words))
+        self.flat[used : used + len(ids)] = ids
+        self.count[known : known + len(words)] = n
+        self.first[known : known + len(words)] = used + np.cumsum(n) - n
+        self.number.update(zip(words, range(known, known + len(words))))
+        self.used += len(ids)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        k = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            missing = [words[i] for i in new.tolist()]
+            self.learn(list(dict.fromkeys(missing)))
+            k[new] = np.fromiter(map(self.number.__getitem__, missing), np.int64, len(missing))
+        return k
+
+    def ids(self, text: bytes | None) -> np.ndarray:
         """The text's token ids and the end token, unsigned 32-bit."""
-        w = (text or "").translate(SPACES).split(" ")
+        return next(self.all_ids([text]))
+
+    def all_ids(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """ids of each text; new words of all texts are learned together."""
         if len(self.number) > self.limit:
-            self._clear()
-        new = [x for x in dict.fromkeys(w) if x not in self.number]
-        if new:
-            self._learn(new)
-        k = np.fromiter(map(self.number.__getitem__, w), np.int64, len(w))
-        n = self.count[k]
-        total = int(n.sum())
-        ends = np.cumsum(n)
-        at = np.arange(total) + np.repeat(self.first[k] - (ends - n), n)
-        return np.append(self.flat[at], np.uint32(self.end))
+            self._forget()
+        words = [(t or b"").lower().split() for t in texts]
+        k = self.numbers([w for ws in words for w in ws])
+        at = 0
+        for ws in words:
+            own = k[at : at + len(ws)]
+            at += len(ws)
+            n = self.count[own]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            out = np.empty(total + 1, np.uint32)
+            out[:total] = self.flat[np.arange(total) + np.repeat(self.first[own] - (ends - n), n)]
+            out[total] = self.end
+            yield out
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
+
+
+@lru_cache(maxsize=1)
+def word_cache(tokenizer_file: str) -> WordCache:
+    """A Python worker keeps its words from task to task."""
+    return WordCache(tokenizer_file)
 
 
 class Packer:
@@ -184,8 +248,9 @@ def pack_documents(docs: Iterator[tuple[int | None, np.ndarray]], window: int =
 
 def _pack(tokenizer_file: str, window: int, most_open: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer_file)
-        documents = ((d.as_py(), cache.ids(t.as_py())) for b in batches for d, t in zip(b.column("doc_id"), b.column("text")))
+        cache = word_cache(tokenizer_file)
+        parts = (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64))
+        documents = (x for p in parts for x in zip(p.column("doc_id").to_pylist(), cache.all_ids(p.column("text").to_pylist())))
         sequence, rows = TaskContext.get().partitionId() << 40, []
         for pieces in pack_documents(documents, window, most_open):
             offset = 0
@@ -209,7 +274,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, most_open: int = 2048) -> DataFrame:
     """One row for each piece of a document (doc_id, text); no shuffle."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_pack(tokenizer_file, window, most_open), PIECES)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text").mapInArrow(_pack(tokenizer_file, window, most_open), PIECES)
 
 
 def public_tokenizer() -> str:
