@@ -70,9 +70,8 @@ def parse_cigar(s: Column) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    """All substrings of length k in order; none of a shorter sequence."""
-    n = F.length(s) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of length k in order; none of a shorter sequence. One pass: a look-ahead matches at every place."""
+    return F.regexp_extract_all(s, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def shared_kmers(a: Column, b: Column, k: int) -> Column:

@@ -159,7 +159,8 @@ def kolmogorov_cdf(n: int, d: float) -> float:
     matrix[:, 0] -= h ** (i + 1.0)
     matrix[m - 1, :] -= h ** (m - i.astype(float))
     matrix[m - 1, 0] += max(0.0, 2 * h - 1) ** m
-    matrix /= np.array([[math.factorial(x) if x > 0 else 1 for x in row] for row in below.tolist()], float)
+    log_factorials = np.array([math.lgamma(x + 1) for x in range(m + 1)])
+    matrix *= np.exp(-log_factorials[np.maximum(below, 0)])
     power, exponent = np.eye(m), 0
     base, base_exponent, left = matrix, 0, n
     while left:
@@ -171,6 +172,8 @@ def kolmogorov_cdf(n: int, d: float) -> float:
             if x[k - 1, k - 1] > 1e140:
                 x *= 1e-140
                 exponent, base_exponent = (exponent + 140, base_exponent) if which == 0 else (exponent, base_exponent + 140)
+    if power[k - 1, k - 1] <= 0:
+        return 0.0
     logs = math.log10(power[k - 1, k - 1]) + exponent + (math.lgamma(n + 1) - n * math.log(n)) / math.log(10)
     return 10**logs
 

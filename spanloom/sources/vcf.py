@@ -92,18 +92,21 @@ def read_vcf(spark: SparkSession, path: str | list[str], with_file: bool = False
     return parse(lines.withColumn("_file", F.input_file_name()) if with_file else lines)
 
 
-def encode(variants: DataFrame, seq: Column, sample: bool = True) -> DataFrame:
-    """Variants as text rows (value). seq: the contig's sequence, or any string whose character start is the base there.
+def reference_bases(seq: Column) -> tuple[Column, Column]:
+    """base and removed for encode, out of the whole sequence of a variant's contig."""
+    return F.substr(seq, (F.col("start") + 1).cast("int"), F.lit(1)), F.substr(seq, (F.col("start") + 2).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+
+
+def encode(variants: DataFrame, base: Column, removed: Column, sample: bool = True) -> DataFrame:
+    """Variants as text rows (value). base: the reference base at start; removed: those of start + 1 to end.
 
     Deletions and insertions of up to LITERAL removed bases are written out, others symbolically; END is left out where
     alleles are literal; a duplication has no SVLEN.
     """
     t, span = F.col("svtype"), F.col("end") - F.col("start")
-    base = F.substr(seq, (F.col("start") + 1).cast("int"), F.lit(1))
     incomplete = F.col("ins_seq").contains("-")
     literal = t.isin("DEL", "INS") & (span <= LITERAL) & ~(incomplete & (t == "INS"))
-    removed = F.substr(seq, (F.col("start") + 2).cast("int"), span.cast("int"))
-    ref = F.when(literal, F.concat(base, removed)).otherwise(base)
+    ref = F.when(literal, F.concat(base, F.substr(removed, F.lit(1), span.cast("int")))).otherwise(base)
     mate = F.concat(F.col("chr"), F.lit(":"), (F.col("end") + 1).cast("string"))
     left = F.coalesce(F.col("left_facing"), F.lit(False)) if "left_facing" in variants.columns else F.lit(False)
     bnd = F.when(left, F.concat(F.lit("["), mate, F.lit("["), base)).otherwise(F.concat(F.lit("]"), mate, F.lit("]"), base))
@@ -131,7 +134,7 @@ def encode(variants: DataFrame, seq: Column, sample: bool = True) -> DataFrame:
     info = F.array_join(F.array_compact(F.array(*items)), ";")
     gt = F.array_join(F.transform("gt", lambda x: F.coalesce(x.cast("string"), F.lit("."))), "/")
     ft = F.when(F.size("filters") > 0, F.array_join("filters", ";")).otherwise("PASS")
-    epr = F.coalesce(F.format_number("epr", "0.######"), F.lit("."))
+    epr = F.coalesce(F.col("epr").cast("string"), F.lit("."))
     tail = [F.lit("GT:FT:EPR"), F.concat_ws(":", F.coalesce(gt, F.lit("./.")), F.coalesce(ft, F.lit("PASS")), epr)] if sample else []
     return variants.select(F.concat_ws("\t", "chr", (F.col("start") + 1).cast("string"), F.coalesce("id", F.lit(".")), ref, alt, F.lit("."), F.lit("."), info, *tail).alias("value"))
 
