@@ -131,15 +131,16 @@ class Page:
         self.content[up].append(at)
         return at
 
-    def _end(self, tags: frozenset | set, stack: list[int], walls: frozenset) -> None:
-        """Close the nearest open element of tags, unless a wall stands before it."""
+    def _end(self, tags: frozenset | set, stack: list[int], walls: frozenset) -> bool:
+        """Close the nearest open element of tags, unless a wall stands before it; whether there was one."""
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tags[stack[k]]
             if tag in tags:
                 del stack[k:]
-                return
+                return True
             if tag in walls:
-                return
+                break
+        return False
 
     def _read(self, s: str) -> None:
         stack, at, n = [0], 0, len(s)
@@ -159,9 +160,9 @@ class Page:
             if not tag:
                 continue
             if m[1]:
-                if tag in BLOCKS:
+                closed = self._end({tag}, stack, frozenset() if tag in WALLS or tag in ("p", "html", "body") else WALLS)
+                if tag in BLOCKS and (closed or tag == "p"):
                     self._flush()
-                self._end({tag}, stack, frozenset() if tag in WALLS or tag in ("p", "html", "body") else WALLS)
                 continue
             if tag in BLOCKS:
                 self._flush()

@@ -1,0 +1,437 @@
+"""Operators on documents against plain Python."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from spanloom.llm import brown, langid, mixing, packing, quality, repeats, secrets, simhash
+from spanloom.llm.common import Scratch, remainder
+
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def texts(spark, folder):
+    return spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+
+
+@pytest.fixture(params=["odd", "none", "small"])
+def at(request, folder, small):
+    return small if request.param == "small" else f"{folder}/{request.param}"
+
+
+# SimHash
+
+
+def plain_fingerprint(text):
+    w = WORDS.findall((text or "").encode().lower())
+    if not w:
+        return 0
+    s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark, at):
+    rows = texts(spark, at)
+    rows = [r for r in rows if r.text is None or len(r.text) < 50_000]
+    got = simhash.op10_simhash(spark, at).collect()
+    prints = {r.doc_id: plain_fingerprint(r.text) for r in rows}
+    for r in got:
+        if r.doc_id in prints:
+            assert int(r.fingerprint, 16) == prints[r.doc_id]
+    every = [(r.doc_id, int(r.fingerprint, 16)) for r in got]
+    parent = list(range(len(every)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i in range(len(every)):
+        for j in range(i):
+            if (every[i][1] ^ every[j][1]).bit_count() <= 2:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (d, _) in enumerate(every):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    assert [r.component_id for r in got] == [least.get(find(i)) for i in range(len(every))]
+
+
+def test_simhash_keeps_one_of_each(spark, odd):
+    kept = simhash.keep_first(odd)
+    assert kept.columns == odd.columns
+    # 1 and 2 are equal; 3, 4 and 5 have no word.
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, k) for k in (1, 3, 6, 7, 8, 9)] + [(True, 0)]
+
+
+def test_ball_meets_every_pair_within_the_radius(spark):
+    a = 0x0123456789ABCDEF
+    near = [a, a ^ 1, a ^ (1 << 63), a ^ 3, a ^ 7, a ^ (1 << 63) ^ 6]
+    signed = [x - (1 << 64) if x >> 63 else x for x in near]
+    prints = spark.createDataFrame([(k, x) for k, x in enumerate(signed)], "doc_id long, fp long")
+    got = {r.fp: r.component_id for r in simhash.components(prints, Scratch(spark, "t")).collect()}
+    assert set(got.values()) == {0} and len(got) == 6
+
+
+# Secrets
+
+BASE = [
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 8, 2),
+    ("access", re.compile("AKIA[A-Z0-9]+"), 16, 0),
+    ("hex", re.compile("[0-9a-f]+"), 32, 0),
+]
+
+
+def test_secrets(spark, at):
+    rows = {r.doc_id: r.text for r in texts(spark, at)}
+    got = secrets.op6_secrets(spark, at).collect()
+    assert len(got) == spark.read.parquet(f"{at}/documents.parquet").count()
+    for r in got:
+        spans = sorted((m.start(), k, kind, m.end()) for k, (kind, p, least, g) in enumerate(BASE) for m in p.finditer(rows[r.doc_id] or "") if len(m.group(g)) >= least)
+        joined = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        n = Counter(s[2] for s in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == (n["assign"], n["access"], n["hex"])
+        assert set(joined.split(",")) <= set(r.spans.split(",")) | {""}
+
+
+def test_a_failing_match_uses_up_its_text(spark, tmp_path):
+    # "token: secret" is too short, but what it took is not read again.
+    df = spark.createDataFrame([(1, "token: secret: abcdefghij")], "doc_id long, text string")
+    secrets.update_ledger(df, f"{tmp_path}/l")
+    assert secrets.findings(df, f"{tmp_path}/l").first()["_sl_spans"] == []
+
+
+def test_the_ledger_is_incremental(spark, tmp_path):
+    at = f"{tmp_path}/l"
+    a = spark.createDataFrame([(1, "AKIA" + "A" * 16), (2, "AKIA" + "A" * 16), (3, "plain")], "doc_id long, text string")
+    secrets.update_ledger(a, at, secrets.BASE)
+    first = spark.read.parquet(at).collect()
+    assert len(first) == 2 * 3
+    secrets.update_ledger(a, at, secrets.BASE)
+    assert spark.read.parquet(at).count() == 6
+    b = a.union(spark.createDataFrame([(4, "new")], a.schema))
+    newer = (*secrets.BASE[:2], secrets.Rule("hex", 2, "[0-9a-f]{40,}"))
+    secrets.update_ledger(b, at, newer)
+    added = [(r.kind, r.version) for r in spark.read.parquet(at).collect()]
+    assert Counter(added) == {("assign", 1): 3, ("access", 1): 3, ("hex", 1): 2, ("hex", 2): 3}
+    assert {r.doc_id: len(r["_sl_spans"]) for r in secrets.findings(b, at, newer).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_redaction(spark, tmp_path, odd):
+    at = f"{tmp_path}/l"
+    secrets.update_ledger(odd, at)
+    out = secrets.redact(odd, at)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    r = out.where("doc_id = 7").first()
+    assert r.text == 'x [secret]" token: secret: zzzzzzzzzz [secret] é\U0001f600 [secret]' and r.n_chars == len(r.text)
+    same = lambda df: sorted(map(str, df.where("doc_id <> 7 or doc_id is null").collect()))
+    assert same(out) == same(odd)
+
+
+# Mixing
+
+
+def test_mixing(spark, at):
+    rows = texts(spark, at)
+    size = lambda t: len(WORDS.findall((t or "").encode()))
+    of = defaultdict(int)
+    for r in rows:
+        of[r.source] += size(r.text)
+    names = sorted(of, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(names, plain_targets([of[s] for s in names])))
+    got = mixing.mix(spark.read.parquet(f"{at}/documents.parquet"))
+    found = got.collect()
+    assert Counter((r.doc_id, r.source, r["size"]) for r in found) == Counter((r.doc_id, r.source, size(r.text)) for r in rows)
+    taken = defaultdict(int)
+    for r in found:
+        assert r.source_size == of[r.source] and r.target == pytest.approx(goal[r.source]) and 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+    for s in names:
+        most = max(size(r.text) for r in rows if r.source == s)
+        assert abs(taken[s] - goal[s]) <= most
+    key = lambda rs: sorted((str(r.doc_id), r["size"], r.taken) for r in rs)
+    assert key(found) == key(mixing.mix(spark.read.parquet(f"{at}/documents.parquet").repartition(3)).collect())
+
+
+def plain_targets(sizes):
+    w = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
+    lo, hi = 0.0, 1e12
+    total = 1.5 * sum(sizes)
+    for _ in range(200):  # the level at which capped shares add up to the total
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(2 * s, mid * x) for s, x in zip(sizes, w)) < total else (lo, mid)
+    return [min(2 * s, hi * x) for s, x in zip(sizes, w)]
+
+
+def test_pivoting_keeps_mass_and_expectation():
+    r = np.random.default_rng(1)
+    sizes, p = r.integers(1, 50, 40).astype(float), r.random(40)
+    mean = np.zeros(40)
+    for k in range(3000):
+        draw = np.random.default_rng(k)
+        out = mixing.pivot(sizes, p, lambda i, j: draw.random())
+        assert abs(out @ sizes - p @ sizes) < 1e-6 and ((out > 0) & (out < 1)).sum() <= 1
+        mean += out / 3000
+    assert np.abs(mean - p).max() < 0.05
+
+
+def test_small_groups_make_a_deep_tree(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    a = mixing.mix(docs, group=1).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max("size").alias("m")).collect()
+    assert all(abs(r.t - r.g) <= r.m for r in a)
+
+
+def test_take_repeats_rows(spark, small, odd):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    taken = Counter({(r.doc_id): r.copies for r in mixing.mix(docs).collect()})
+    got = Counter(r.doc_id for r in mixing.take(docs).collect())
+    assert +taken == got
+    assert mixing.take(odd).columns == odd.columns
+
+
+# Packing
+
+
+def test_packing(spark, at):
+    rows = {r.doc_id: r.text for r in texts(spark, at)}
+    tok = packing.WordCache(packing.public_tokenizer())
+    got = packing.op3_packing(spark, at).collect()
+    docs, seqs = defaultdict(list), defaultdict(list)
+    for r in got:
+        docs[r.doc_id].append(r)
+        seqs[r.sequence_id].append(r)
+    n = spark.read.parquet(f"{at}/documents.parquet").count()
+    assert sum(r.start == 0 for r in got) == n
+    for d, pieces in docs.items():
+        ids = np.array(tok.tokenizer.encode(rows[d] or "", add_special_tokens=False).ids + [2], "<u4")
+        for p in pieces:
+            assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
+        covered = Counter(i for p in pieces for i in range(p.start, p.start + p.length))
+        assert set(covered) == set(range(len(ids))) and len(set(covered.values())) == 1
+    for pieces in seqs.values():
+        at_ = 0
+        for p in sorted(pieces, key=lambda p: p.offset):
+            assert p.offset == at_
+            at_ += p.length
+        assert at_ <= 4096
+    # Every sequence is full or a power of two long, so nothing is padded.
+    assert all((x := sum(p.length for p in s)) & (x - 1) == 0 for s in seqs.values())
+
+
+def test_remembered_words_give_the_tokenizer_s_ids():
+    c = packing.WordCache(packing.public_tokenizer(), limit=50)
+    for t in ["<|endoftext|> a", "İstanbul ΑΣ Σ", "á ́b", "x\x1cy \x01 z", " a b", "don't I'M it's", "...!? 12,3", "", " ", *(f"word{k} some more" for k in range(60))]:
+        assert c.ids(t.encode()).tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids + [2]
+
+
+def test_the_level_chosen_has_the_smallest_sum_of_squares():
+    r = np.random.default_rng(3)
+    p = packing.Packer(16)
+    for _ in range(300):
+        size = int(r.integers(1, 16))
+        counts = p.level.copy()
+        best = None
+        for l in [k for k in range(17 - size) if k == 0 or counts[k]]:
+            c = counts.copy()
+            if l:
+                c[l] -= 1
+            if l + size < 16:
+                c[l + size] += 1
+            cost = int((c[1:16] ** 2).sum())
+            if best is None or cost <= best[0]:
+                best = (cost, l)
+        assert p.choose(size) == best[1]
+        p.add((0, 0, np.zeros(size, np.uint32)))
+
+
+def test_open_windows_are_bounded():
+    r = np.random.default_rng(5)
+    docs = [(k, np.arange(int(r.integers(1, 90)), dtype=np.uint32)) for k in range(400)]
+    out = list(packing.pack_documents(iter(docs), 64, most_open=5))
+    assert sum(len(p[2]) for s in out for p in s) == sum(len(d[1]) for d in docs) and all(sum(len(p[2]) for p in s) <= 64 for s in out)
+
+
+# Language
+
+
+def test_language(spark, folder, small):
+    got = langid.op8_langid(spark, small).collect()
+    lang = {r.doc_id: r.lang for r in texts(spark, small)}
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in got)
+    odd = {r.doc_id: r for r in langid.op8_langid(spark, f"{folder}/odd").collect()}
+    assert {k for k, r in odd.items() if r.lang_pred == "und"} == {3, 4, 5, 8} and all(odd[k].rejected for k in (3, 4, 5, 8))
+    assert langid.op8_langid(spark, f"{folder}/none").count() == 0
+
+
+def test_only_text_counts_for_a_language(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    d = langid.fit(docs, F.coalesce(remainder(F.col("doc_id"), 4) != 2, F.lit(True)))
+    a = langid.identify(docs.select("doc_id", "text"), d).select("text", "_sl_lang", "_sl_score")
+    b = langid.identify(docs.select((F.col("doc_id") + 1).alias("doc_id"), "text"), d).select("text", "_sl_lang", "_sl_score")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert langid.Classifier({}).predict("text")[0] == langid.UND and langid.Classifier({"xx": b"a"}).predict("text") == ("xx", 1.0, 1.0)
+
+
+# Language model
+
+
+def test_scores(spark, at):
+    rows = texts(spark, at)
+    train = [r for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 != 1]
+    count = Counter(w for r in train for w in [*WORDS.findall((r.text or "").encode().lower()), b" "])
+    total, distinct = sum(count.values()), len(count)
+    got = brown.op5_brown(spark, at).collect()
+    assert len(got) == len(rows)
+    of = {r.doc_id: r.text for r in rows}
+    for r in got:
+        w = [*WORDS.findall((of[r.doc_id] or "").encode().lower()), b" "]
+        base = sum(np.log10((count[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w)
+        assert r.n_tokens == len(w) and r.n_known == sum(count[x] > 0 for x in w) and r.train_tokens == total
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
+
+
+def test_the_model_beats_its_base_on_held_out_text(spark):
+    got = brown.op5_brown(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] / got[2] > got[1] / got[2] + 0.2
+
+
+def test_moves_of_the_exchange_raise_the_likelihood():
+    r = np.random.default_rng(2)
+    # Two kinds of words that follow their own kind.
+    kind = r.integers(0, 2, 30)
+    seq = [30]
+    for _ in range(4000):
+        seq.append(int(r.choice(np.flatnonzero(kind == (kind[seq[-1]] if seq[-1] < 30 else 0)))) if r.random() < 0.95 else int(r.integers(0, 30)))
+    u = np.array([*seq, 30])
+    c = np.array([k % 2 for k in range(30)] + [2])
+
+    def contexts(c):
+        b, a = np.zeros((31, 3), np.int64), np.zeros((31, 3), np.int64)
+        np.add.at(b, (u[1:], c[u[:-1]]), 1)
+        np.add.at(a, (u[:-1], c[u[1:]]), 1)
+        return b, a
+
+    for _ in range(8):
+        b, a = contexts(c)
+        c = brown.exchange(b, a, c, 3)
+    assert max(np.mean(c[:30] == kind), np.mean(c[:30] != kind)) > 0.9
+
+
+def test_move_and_emission_sum_to_one(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = docs.select(F.col("text").cast("binary").alias("text"))
+    vocabulary = rows.mapInArrow(brown._count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = brown.most_counted(vocabulary.where("token <> cast(' ' as binary)"), 500)
+    assert 0 < len(top) <= 500
+    least = min(r["n"] for r in top)
+    assert {bytes(r["token"]) for r in vocabulary.where(F.col("n") > 2 * least).collect()} - {b" "} <= {bytes(r["token"]) for r in top}
+
+
+# Quality
+
+
+def plain_measures(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    win = Counter(zip(w, w[1:], w[2:]))
+    hit = {i + k for i in range(len(w) - 2) if win[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality(spark, at):
+    rows = {r.doc_id: r.text for r in texts(spark, at)}
+    for r in quality.op9_quality(spark, at).collect():
+        assert tuple(r)[1:6] == plain_measures(rows[r.doc_id])
+        n, *_, rep = plain_measures(rows[r.doc_id])
+        assert r.base_failed == (n < 50 or 100 * rep > 50 * n) and not (r.base_failed and r.kept)
+
+
+def test_the_order_of_rules_does_not_change_the_verdict(spark, small):
+    rows = quality.measured(spark.read.parquet(f"{small}/documents.parquet"))
+    verdicts = []
+    for rules in (quality.RULES, quality.RULES[::-1], quality.in_order(rows)):
+        verdicts.append(sorted((r.doc_id, r.k) for r in quality.cascade(rows, rules).select("doc_id", F.col("_sl_rejected_by").isNull().alias("k")).collect()))
+    assert verdicts[0] == verdicts[1] == verdicts[2]
+    assert sorted(r.name for r in quality.in_order(rows)) == sorted(r.name for r in quality.RULES)
+
+
+# Paragraphs
+
+
+def test_repeats_on_planted_paragraphs(spark):
+    import random
+
+    r = random.Random(1)
+    line = lambda n: " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(n))
+    p, q = line(60), line(60)
+    edited = q.split()
+    edited[30] = "other"
+    rows = [(1, f"{line(30)}\n{p}"), (2, f"{p.upper()}\n{line(25)}"), (3, f"{line(22)}\n{q}"), (4, " ".join(edited)), (5, f"{line(40)}\nshort line"), (6, "short line"), (7, None), (8, ""), (9, f"{(z := line(30))}\n{z}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.paragraph): x for x in repeats.repeated_paragraphs(docs).collect()}
+    assert set(got) == {(1, 1), (2, 0), (3, 1), (4, 0)}
+    assert got[1, 1].cluster_id == got[2, 0].cluster_id != got[3, 1].cluster_id == got[4, 0].cluster_id
+    assert [got[k].removed for k in sorted(got)] == [False, True, False, True] and got[2, 0].first_doc_id == 1
+    t = dict(rows)
+    assert all(t[d][x.start : x.start + x.length].split("\n") == [t[d].split("\n")[k]] for (d, k), x in got.items())
+
+
+def test_repeats_have_no_link_between_classes_less(spark, small):
+    """Every pair of different paragraphs at or above 0.8 is in one cluster; clusters follow from such pairs."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    paras = [(r.doc_id, k, b" ".join(w)) for r in docs.collect() for k, *_, w in repeats.paragraphs(r.text, 20)]
+    by = defaultdict(set)
+    for d, k, t in paras:
+        by[t].add(d)
+    uniq = sorted(by)
+    parent = {t: t for t in uniq}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    sets = {t: repeats.shingles(t) for t in uniq}
+    index = defaultdict(list)
+    for t in uniq:
+        for s in sets[t]:
+            index[s].append(t)
+    pairs = {(a, b) for v in index.values() for i, a in enumerate(v) for b in v[i + 1 :]}
+    for a, b in pairs:
+        if repeats.jaccard(a, b) >= 0.8:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    docs_of = defaultdict(set)
+    for t in uniq:
+        docs_of[find(t)] |= by[t]
+    want = {(d, k) for d, k, t in paras if len(docs_of[find(t)]) > 1}
+    assert {(r.doc_id, r.paragraph) for r in repeats.repeated_paragraphs(docs).collect()} == want
+
+
+def test_repeats_on_odd_documents(spark, odd, none):
+    got = {(r.doc_id, r.removed) for r in repeats.repeated_paragraphs(odd).collect()}
+    assert got == {(1, False), (2, True)}
+    assert repeats.repeated_paragraphs(none).count() == 0
+
+
+def test_bands_find_similar_sets():
+    r = np.random.default_rng(7)
+    maker, hit, n = repeats.Bands(), 0, 300
+    for _ in range(n):
+        w = [b"%d" % x for x in r.integers(0, 10**9, 104)]
+        v = list(w)
+        for i in (20, 80):  # ten of a hundred shingles change: similarity 90 / 110
+            v[i] = b"x"
+        a, b = maker.of([w, v])
+        hit += bool((a == b).any())
+    assert hit / n > 0.98
