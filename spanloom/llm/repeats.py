@@ -167,7 +167,8 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, similarity: float
     pairs = scratch.table(met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
 
     wanted = scratch.table(pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct(), "wanted")
-    texts = docs.select("text").mapInArrow(_texts(min_words), "class long, text binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    # The wanted classes grow with the documents, so the join is by shuffle at every size; the same shuffle serves the pick.
+    texts = docs.select("text").mapInArrow(_texts(min_words), "class long, text binary").join(wanted.hint("merge"), "class", "left_semi").dropDuplicates(["class"])
     texts = scratch.table(texts, "texts")
     with_a = pairs.join(texts.select(F.col("class").alias("u"), F.col("text").alias("a")), "u")
     with_both = with_a.join(texts.select(F.col("class").alias("v"), F.col("text").alias("b")), "v")
