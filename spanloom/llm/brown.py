@@ -31,7 +31,9 @@ from .common import Scratch, remainder
 
 #: No word holds a space, so this stands for the end of a text in the table of counts.
 END = b" "
-FLUSH = 1_000_000
+FLUSH = 300_000
+#: So many texts are scored at a time.
+SLICE = 500
 ADD = 0.5
 SCORED = "row long, token binary, class int, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
@@ -210,7 +212,7 @@ def _score(m: Model, held_out_of: int):
         base_of = np.log10((counts[:-1] + ADD) / m.word_total)
         emit_of = np.log10((counts[:-1] + ADD) / m.class_total[class_of_word])
         end_class, end_base = m.class_of[-1], float(np.log10((counts[-1] + ADD) / m.word_total))
-        for b in batches:
+        for b in (x.slice(k, SLICE) for x in batches for k in range(0, x.num_rows, SLICE)):
             main, rare = [], []
             for row, doc_id, held, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text")):
                 w, k, u = units.read(t.as_py())
@@ -234,6 +236,23 @@ def _score(m: Model, held_out_of: int):
     return run
 
 
+def most_counted(vocabulary: DataFrame, known: int) -> list:
+    """The most counted words, at most known: all above a bound on the count that a histogram by eighths of octaves gives.
+
+    No task sends more to the driver than what is kept, however many tasks there are.
+    """
+    octave = F.floor(F.log2("n") * 8).cast("int")
+    sizes = {r["o"]: r["c"] for r in vocabulary.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    least, held = None, 0
+    for o in sorted(sizes, reverse=True):
+        if held + sizes[o] > known:
+            break
+        least, held = o, held + sizes[o]
+    if least is None:
+        return []
+    return sorted(vocabulary.where(octave >= least).collect(), key=lambda r: (-r["n"], bytes(r["token"])))
+
+
 def score(docs: DataFrame, held_out: Column, classes: int = 48, rounds: int = 6, frequent: int = 4096, endings: int = 2048, known: int = 200_000, prior: float = 5.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -242,7 +261,7 @@ def score(docs: DataFrame, held_out: Column, classes: int = 48, rounds: int = 6,
     train = rows.where("not held_out").select("text")
     vocabulary = scratch.table(train.mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = vocabulary.where(F.col("token") != F.lit(END)).orderBy(F.desc("n"), "token").limit(known).collect()
+    top = most_counted(vocabulary.where(F.col("token") != F.lit(END)), known)
     ends = vocabulary.where(F.col("token") == F.lit(END)).first()
     counts = np.array([r["n"] for r in top] + [ends["n"] if ends else 0], np.int64)
     units = Units([bytes(r["token"]) for r in top], counts, min(frequent, len(top)), endings)
