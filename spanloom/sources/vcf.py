@@ -30,9 +30,31 @@ HEADER = (
 )
 
 
+#: Fixed names of the tag families: reads, pairs and stray pairs; {a} is the allele, {k} the breakpoint.
+READ_TAGS = "{a}R{k} {a}R{k}C {a}R{k}CF {a}R{k}CR {a}R{k}CE {a}R{k}CEHQ {a}R{k}CEmQ {a}R{k}CEMQ {a}R{k}CEF {a}R{k}CER {a}R{k}E {a}R{k}EHQ {a}R{k}EmQ {a}R{k}EMQ {a}R{k}EF {a}R{k}ER {a}R{k}CAS {a}R{k}CSS {a}R{k}CHQ {a}R{k}CmQ {a}R{k}CMQ {a}R{k}CAQ {a}R{k}CSQ {a}R{k}CMSPAN {a}R{k}CMHQSPAN".split()
+PAIR_TAGS = "{a}SP{k} {a}SP{k}HQ {a}SP{k}mQ {a}SP{k}MQ {a}SP{k}AQ {a}SP{k}SQ {a}SP{k}SPAN {a}SP{k}NMA {a}SP{k}NMS".split()
+STRAY_TAGS = "SSP{k} SSP{k}HQ SSP{k}mQ SSP{k}MQ SSP{k}AQ SSP{k}SQ SSP{k}NMA SSP{k}NMS".split()
+FILTERS = "REMAP_BOUNDARY_FILTER FAILED_TO_EXTEND ANOMALOUS_FLANKING_DEPTH ANOMALOUS_SC_NUMBER NOT_ENOUGH_DISC_PAIRS LOW_MAPQ_DISC_PAIRS WEAK_SUPPORT LOW_PTN_RATIO SHORT_ANCHOR LOW_ALT_CONSENSUS_SCORE".split()
+ALTS = "DEL DUP INS INV BND RPL".split()
+
+
+def support_tags() -> list[tuple[str, int, str]]:
+    """Name, number and type of every support tag: averages and deviations are floats, spans and pair qualities have two values."""
+    names = [t.format(a=a, k=k) for a in "AR" for k in "12" for t in READ_TAGS] + [t.format(a=a, k=k) for a in "ARN" for k in "12" for t in PAIR_TAGS] + [t.format(k=k) for k in "12" for t in STRAY_TAGS]
+    real = ("AS", "SS", "AQ", "SQ", "NMA", "NMS")
+    two = lambda n: n[1:3] == "SP" and n[-2:] in ("HQ", "mQ", "MQ", "AQ", "SQ", "AN") or n.endswith("SPAN")
+    return [(n, 2 if two(n) else 1, "Float" if n.endswith(real) else "Integer") for n in names]
+
+
+def support_header() -> list[str]:
+    lines = [f'##FORMAT=<ID={n},Number={k},Type={t},Description="Support {n}">' for n, k, t in support_tags()]
+    lines += [f'##FILTER=<ID={f},Description="{f.replace("_", " ").capitalize()}">' for f in FILTERS]
+    return lines + [f'##ALT=<ID={a},Description="{a}">' for a in ALTS]
+
+
 def header(contigs: list[tuple[str, int]], samples: list[str]) -> list[str]:
     names = [f"##contig=<ID={c},length={n}>" for c, n in contigs]
-    return [HEADER[0], *names, *HEADER[1:], "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
+    return [HEADER[0], *names, *HEADER[1:], *support_header(), "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
 
 
 def _info(name: str) -> Column:

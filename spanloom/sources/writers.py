@@ -21,6 +21,11 @@ def by_category(df: DataFrame, categories: Column, path: str, contig: str = "con
     rows.repartition("category", contig, salt).write.partitionBy("category", contig).parquet(path)
 
 
+def evidence(rows: DataFrame, path: str) -> None:
+    """Evidence (contig, kind, sv_id, ...) in one folder a kind and contig; salted, so no contig is one task's work."""
+    rows.repartition("kind", "contig", F.pmod(F.xxhash64("sv_id"), F.lit(16))).write.mode("append").partitionBy("kind", "contig").parquet(path)
+
+
 def split_by_flag(df: DataFrame, flag: Column, yes: str, no: str, strip: str | None = None) -> None:
     """Rows where flag holds to one place, the rest to another; strip: a column whose _DUP ending goes."""
     out = df.withColumn(strip, F.regexp_replace(strip, "_DUP$", "")) if strip else df
