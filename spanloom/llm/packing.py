@@ -21,6 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Stands between words that are encoded together: a control character, one token; words that hold it are encoded alone.
 BETWEEN = "\x01"
 TOGETHER = 256
+#: So many texts are split at a time.
+TEXTS = 256
 
 
 class WordCache:
@@ -50,7 +53,7 @@ class WordCache:
         self.plain.normalizer = normalizers.Sequence([])
         self.end, self.limit = end, limit
         self.between = np.array(self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids, np.uint32)
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = {b"": 0}  # what leading and trailing white space leaves has no id
         self.flat, self.first, self.count, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def _forget(self) -> None:
@@ -102,25 +105,25 @@ class WordCache:
             k[new] = np.fromiter(map(self.number.__getitem__, missing), np.int64, len(missing))
         return k
 
-    def ids(self, text: bytes | None) -> np.ndarray:
+    def ids(self, text: str | None) -> np.ndarray:
         """The text's token ids and the end token, unsigned 32-bit."""
-        return next(self.all_ids([text]))
+        return next(self.all_ids(pa.array([text], pa.string())))
 
-    def all_ids(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        """ids of each text; new words of all texts are learned together."""
+    def all_ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """ids of each text. Arrow splits the texts and numbers their different words, so each is looked up once."""
         if len(self.number) > self.limit:
             self._forget()
-        words = [(t or b"").lower().split() for t in texts]
-        k = self.numbers([w for ws in words for w in ws])
-        at = 0
-        for ws in words:
-            own = k[at : at + len(ws)]
-            at += len(ws)
-            n = self.count[own]
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        ends_of = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+        coded = lists.flatten().dictionary_encode()
+        k = self.numbers(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        first, count = self.first[k], self.count[k]
+        for a, b in zip(ends_of[:-1].tolist(), ends_of[1:].tolist()):
+            n = count[a:b]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
             out = np.empty(total + 1, np.uint32)
-            out[:total] = self.flat[np.arange(total) + np.repeat(self.first[own] - (ends - n), n)]
+            out[:total] = self.flat[np.arange(total) + np.repeat(first[a:b] - (ends - n), n)]
             out[total] = self.end
             yield out
 
@@ -249,8 +252,8 @@ def pack_documents(docs: Iterator[tuple[int | None, np.ndarray]], window: int =
 def _pack(tokenizer_file: str, window: int, most_open: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer_file)
-        parts = (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64))
-        documents = (x for p in parts for x in zip(p.column("doc_id").to_pylist(), cache.all_ids(p.column("text").to_pylist())))
+        parts = (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS))
+        documents = (x for p in parts for x in zip(p.column("doc_id").to_pylist(), cache.all_ids(p.column("text"))))
         sequence, rows = TaskContext.get().partitionId() << 40, []
         for pieces in pack_documents(documents, window, most_open):
             offset = 0
@@ -274,7 +277,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, most_open: int = 2048) -> DataFrame:
     """One row for each piece of a document (doc_id, text); no shuffle."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text").mapInArrow(_pack(tokenizer_file, window, most_open), PIECES)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_pack(tokenizer_file, window, most_open), PIECES)
 
 
 def public_tokenizer() -> str:
