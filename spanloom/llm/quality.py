@@ -32,11 +32,11 @@ def _share(part: Column, whole: str, least: float) -> Column:
     return part > least * F.col(whole)
 
 
-#: More symbols than a tenth of the words, a third of the lines repeated, odd word lengths, few words with a letter,
+#: More symbols than a tenth of the words, three in ten of at least ten lines repeated (of fewer a share says little), odd word lengths, few words with a letter,
 #: mostly capital letters, most lines cut off, most lines bullets.
 RULES = (
     Rule("symbols", lambda: _share(F.col("_sl_symbols"), "_sl_words", 0.1)),
-    Rule("repeated_lines", lambda: _share(F.col("_sl_dup_lines"), "_sl_lines", 0.3)),
+    Rule("repeated_lines", lambda: (F.col("_sl_lines") >= 10) & _share(F.col("_sl_dup_lines"), "_sl_lines", 0.3)),
     Rule("word_length", lambda: ~F.col("_sl_word_chars").between(2.5 * F.col("_sl_words"), 12.0 * F.col("_sl_words"))),
     Rule("few_letters", lambda: F.size(F.filter("_sl_w", lambda x: x.rlike(r"\p{L}"))) < 0.7 * F.col("_sl_words")),
     Rule("capitals", lambda: F.length(F.regexp_replace("_sl_text", r"[^\p{Lu}]+", "")) > 0.5 * F.length(F.regexp_replace("_sl_text", r"[^\p{L}]+", ""))),

@@ -46,7 +46,7 @@ marked as (select row, count(*) as n from (select distinct row, i + unnest([0, 1
 m as (select w.*, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
   len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words from w left join marked using (row)),
 v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  n_symbols > 0.1 * n_words or n_dup_lines > 0.3 * len(l) or word_chars < 2.5 * n_words or word_chars > 12.0 * n_words
+  n_symbols > 0.1 * n_words or (len(l) >= 10 and n_dup_lines > 0.3 * len(l)) or word_chars < 2.5 * n_words or word_chars > 12.0 * n_words
   or len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) < 0.7 * n_words
   or length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > 0.5 * length(regexp_replace(t, '[^\p{L}]+', '', 'g'))
   or len(list_filter(l, lambda x: regexp_matches(x, '(?:\.\.\.|…)[\x20\x09-\x0D]*$'))) > 0.5 * len(l)
