@@ -255,9 +255,13 @@ def insertion_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
-def candidate_pairs(benchmark: DataFrame, called: DataFrame, m: Match, repeats: DataFrame | None = None, similarity: float = 0.0, width: int = 10_000) -> DataFrame:
-    """Pairs (a: benchmark, b: called) that are compatible, with their score. Cheap conditions come before alignment."""
+def candidate_pairs(benchmark: DataFrame, called: DataFrame, m: Match, repeats: DataFrame | None = None, similarity: float = 0.0, width: int | None = None) -> DataFrame:
+    """Pairs (a: benchmark, b: called) that are compatible, with their score. Cheap conditions come before alignment.
+
+    width of the join's bins: by default twice the widest reach, so that dense contigs have few candidates.
+    """
     reach = max(*m.distance, m.in_repeat if repeats is not None else 0)
+    width = width or 2 * reach
     side = lambda df, n: df.select("chr", F.struct(*df.columns).alias(n), (F.col("start") - reach).alias(f"{n}_lo"), (F.col("end") + reach).alias(f"{n}_hi"))
     a, b = side(benchmark, "a"), side(called, "b")
     repeat = None

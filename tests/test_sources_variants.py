@@ -12,7 +12,7 @@ from spanloom.streaming import events
 RECORDS = [
     "ref1\t100\tT_INS_0\tA\tAGGTTC\t.\t.\tSVTYPE=INS;SVLEN=5;SVINSLEN=5;SOURCE=REFERENCE_GUIDED_ASSEMBLY\tGT:FT:EPR\t1/1:PASS:0.9",
     "ref2\t30001\tDEL_SR_3\tN\t<DEL>\t.\t.\tEND=50000;SVTYPE=DEL;SVLEN=-19999;SOURCE=2SR;IMPRECISE\tGT:FT:EPR\t0/1:LOW;SHORT:0.4",
-    "ref2\t80\tx\tACG\tA\t.\tPASS\t.\tGT\t./1",
+    "ref2\t80\tx\tACG\tA\t.\tPASS\tQ=1;Q=2\tGT\t./1",
     "ref2\t90\ty\tA\t<INS>\t.\t.\tSVTYPE=INS;LEFT_SVINSSEQ=AC;RIGHT_SVINSSEQ=GT;AUX_SNPS=95:G,97:T;AUX_INDELS=99:101:\tGT\t0/1",
     "ref2\t91\tz\tA\t<XYZ>\t.\t.\t.\tGT\t0/1",
 ]
@@ -29,7 +29,7 @@ def test_vcf_parser(calls):
     a, b, c, d = (r[k] for k in ("T_INS_0", "DEL_SR_3", "x", "y"))
     assert (a.start, a.end, a.ins_seq, a.gt, a.epr, a.filters) == (99, 99, "GGTTC", [1, 1], 0.9, ["PASS"])
     assert (b.start, b.end, b.svtype, b.imprecise, b.filters) == (30000, 49999, "DEL", True, ["LOW", "SHORT"])
-    assert (c.end, c.svtype, c.gt) == (81, "DEL", [1, None])
+    assert (c.end, c.svtype, c.gt, c.info) == (81, "DEL", [1, None], {"Q": "1"})
     assert (d.ins_seq, [x.pos for x in d.aux_snps], [(x.start, x.end, x.ins_seq) for x in d.aux_indels]) == ("AC-GT", [94, 96], [(98, 100, "")])
 
 
