@@ -32,7 +32,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 BETWEEN = "\x01"
 TOGETHER = 256
 #: So many texts are split at a time.
-TEXTS = 256
+TEXTS = 512
 
 
 class WordCache:
@@ -117,14 +117,13 @@ class WordCache:
         ends_of = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
         coded = lists.flatten().dictionary_encode()
         k = self.numbers(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        first, count = self.first[k], self.count[k]
-        for a, b in zip(ends_of[:-1].tolist(), ends_of[1:].tolist()):
-            n = count[a:b]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out = np.empty(total + 1, np.uint32)
-            out[:total] = self.flat[np.arange(total) + np.repeat(first[a:b] - (ends - n), n)]
-            out[total] = self.end
+        # Words lie one after the other in flat, so they are a list array, and a text is what its words' numbers take.
+        bounds = np.append(self.first[: len(self.number)], self.used).astype(np.int32)
+        taken = pa.ListArray.from_arrays(pa.array(bounds), pa.array(self.flat[: self.used])).take(pa.array(k))
+        ids, at = taken.values.to_numpy(), taken.offsets.to_numpy()[ends_of].tolist()
+        for a, b in zip(at[:-1], at[1:]):
+            out = np.empty(b - a + 1, np.uint32)
+            out[:-1], out[-1] = ids[a:b], self.end
             yield out
 
 
