@@ -262,8 +262,9 @@ def candidate_pairs(benchmark: DataFrame, called: DataFrame, m: Match, repeats:
     """
     reach = max(*m.distance, m.in_repeat if repeats is not None else 0)
     width = width or 2 * reach
-    side = lambda df, n: df.select("chr", F.struct(*df.columns).alias(n), (F.col("start") - reach).alias(f"{n}_lo"), (F.col("end") + reach).alias(f"{n}_hi"))
-    a, b = side(benchmark, "a"), side(called, "b")
+    side = lambda df, n, pad: df.select("chr", F.struct(*df.columns).alias(n), (F.col("start") - pad).alias(f"{n}_lo"), (F.col("end") + pad).alias(f"{n}_hi"))
+    # An end within reach of the other's means that one, widened by reach, meets the other.
+    a, b = side(benchmark, "a", reach), side(called, "b", 0)
     repeat = None
     if repeats is not None:
         spans = repeats.select("chr", F.col("start").alias("r_lo"), F.col("end").alias("r_hi"))
