@@ -5,10 +5,11 @@ space aside) are one class. A class gets ``bands`` bands of ``rows`` minima over
 twelve bands of four miss fewer than two pairs in a thousand. Classes that share a band are joined, every joined pair is
 verified by the exact Jaccard similarity of its shingle sets, and verified pairs are clustered by components.
 
-Within a band's bucket classes are ordered by how widely they occur. Each is paired with the ``near`` classes before it, so
-a bucket of up to near + 1 classes is compared in full, and in larger ones also with the ``hubs`` most widely occurring.
-Work stays in proportion to a bucket's size. A link that a large bucket leaves out is found where the pair meets in another
-of its bands, or through the hub that both resemble, such as the text that a group of near copies was made from.
+Within a band's bucket classes are ordered by their next band, so that those which share both stand together. Each is
+paired with the ``near`` classes before it, so a bucket of up to near + 1 classes is compared in full, and in larger ones
+also with the ``hubs`` most widely occurring. Work stays in proportion to a bucket's size. A link that a large bucket
+leaves out is found where the pair meets in another of its bands, or through the hub that both resemble, such as the text
+that a group of near copies was made from.
 
 A cluster is reported if it lies in two documents or more; its first paragraph by (doc_id, place) stays, all others can be
 removed. Defined cases: null and empty texts have no paragraph; repeated rows are documents of their own; a null doc_id
@@ -158,11 +159,13 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, similarity: float
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = scratch.table(source.mapInArrow(_places(min_words, bands, rows), PLACES), "places")
 
-    told = places.where("bands is not null").select("class", F.explode("bands").alias("band")).repartition("band")
-    counted = told.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
-    bucket = Window.partitionBy("band").orderBy(F.desc("n"), "class")
-    all_of = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = counted.select("class", F.collect_list("class").over(bucket.rowsBetween(-near, -1)).alias("before"), F.array(*[F.nth_value("class", k + 1).over(all_of) for k in range(hubs)]).alias("hubs"))
+    # Each band comes with the next one: sorted by it, classes that share both stand together in their bucket.
+    two = F.explode(F.zip_with("bands", F.concat(F.slice("bands", 2, bands - 1), F.slice("bands", 1, 1)), lambda a, b: F.struct(a.alias("band"), b.alias("next"))))
+    told = places.where("bands is not null").select("class", two.alias("x")).select("class", "x.band", "x.next").repartition("band")
+    counted = told.groupBy("band", "class", "next").agg(F.count(F.lit(1)).alias("n"))
+    wide = Window.partitionBy("band").orderBy(F.desc("n"), "class").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    like = Window.partitionBy("band").orderBy("next", "class").rowsBetween(-near, -1)
+    seen = counted.select("class", F.collect_list("class").over(like).alias("before"), F.array(*[F.nth_value("class", k + 1).over(wide) for k in range(hubs)]).alias("hubs"))
     met = seen.select(F.col("class").alias("a"), F.explode(F.array_compact(F.concat("before", "hubs"))).alias("b")).where("a <> b")
     pairs = scratch.table(met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
 
