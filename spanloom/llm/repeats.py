@@ -1,6 +1,7 @@
-"""Substring deduplication by paragraphs: MinHash banding, exact verification, removals by component.
+"""Substring deduplication by paragraphs (MinHash banding, exact verification, removals by component) and by passages.
 
-A paragraph is a line of at least ``min_words`` words; shorter lines are left alone. Equal paragraphs (A-Z as a-z, white
+A paragraph is a line of at least ``min_words`` words. Shorter lines and copies inside longer lines or across line ends are
+found as passages, exact copies of 50 words or more (``repeated_passages``). Equal paragraphs (A-Z as a-z, white
 space aside) are one class. A class gets ``bands`` bands of ``rows`` minima over its five-word shingles: at similarity 0.8
 twelve bands of four miss fewer than two pairs in a thousand. Classes that share a band are joined, every joined pair is
 verified by the exact Jaccard similarity of its shingle sets, and verified pairs are clustered by components.
@@ -33,6 +34,9 @@ SHINGLE = 5
 PLACES = "row long, doc_id long, paragraph int, start long, length long, n_words int, class long, bands array<long>"
 #: A task remembers so many classes whose bands it has told.
 REMEMBER = 1_000_000
+WINDOWS = "row long, run long, at int, line int, start long, end long, doc_id long"
+#: Base of the polynomial over words; odd, so that it has an inverse.
+BASE = 0x9E3779B97F4A7C15
 ODD = np.random.default_rng(5).integers(1 << 62, size=SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -188,6 +192,112 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, similarity: float
     return clustered.join(found, "cluster").select("row", "doc_id", "paragraph", "start", "length", "n_words", F.col("cluster").alias("cluster_id"), "n_places", F.col("first.doc_id").alias("first_doc_id"), (~first).alias("removed"))
 
 
+def word_hashes(text: str | None) -> tuple[bytes, np.ndarray]:
+    """The text in UTF-8, A-Z as a-z, and a hash of each of its words."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    w = raw.split()
+    return raw, np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+
+
+def runs_of(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n consecutive words, by a polynomial modulo 2^64; h has n words at least."""
+    power = np.cumprod(np.full(len(h), BASE, np.uint64), dtype=np.uint64)
+    inverse = np.cumprod(np.full(len(h) - n + 1, pow(BASE, -1, 1 << 64), np.uint64), dtype=np.uint64)
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power, dtype=np.uint64)))
+    return mixed((upto[n:] - upto[:-n]) * inverse)
+
+
+def sliding(f: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
+    """f (minimum or maximum) over every n consecutive values, by doubling."""
+    have = 1
+    while 2 * have <= n:
+        x, have = f(x[:-have], x[have:]), 2 * have
+    return f(x[: len(x) - (n - have)], x[n - have :]) if have < n else x
+
+
+def winnow(g: np.ndarray, span: int) -> np.ndarray:
+    """Places of all values that are the least of some span consecutive ones; g has span values at least."""
+    edge = np.zeros(span - 1, np.uint64)
+    return np.flatnonzero(sliding(np.maximum, np.concatenate((edge, sliding(np.minimum, g, span), edge)), span) == g)
+
+
+def _grams(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = window // 2
+        for b in batches:
+            for row, t in zip(b.column("row").to_pylist(), b.column("text")):
+                _, h = word_hashes(t.as_py())
+                if len(h) >= window:
+                    g = runs_of(h, size)
+                    at = winnow(g, window - size + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row)), pa.array(g[at].view(np.int64)), pa.array(at.astype(np.int32))], names=["row", "gram", "at"])
+
+    return run
+
+
+def _windows(window: int):
+    """Every window around a repeated gram, with its span in code points and the line of its start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = window // 2
+        for b in batches:
+            for row, doc_id, t, hits in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), b.column("hits")):
+                raw, h = word_hashes(t.as_py())
+                last = len(h) - window
+                change = np.zeros(len(h) + 2, np.int64)
+                hits = np.asarray(hits.values)
+                np.add.at(change, np.maximum(hits - (window - size), 0), 1)
+                np.add.at(change, np.minimum(hits, last) + 1, -1)
+                s = np.flatnonzero(np.cumsum(change)[: last + 1])
+                x = np.frombuffer(raw, np.uint8)
+                blank = np.concatenate(([True], (x == 32) | ((x >= 9) & (x <= 13)), [True]))
+                starts = np.flatnonzero(blank[:-1] & ~blank[1:])
+                ends = np.flatnonzero(~blank[:-1] & blank[1:])
+                points = np.concatenate(([0], np.cumsum((x & 0xC0) != 0x80)))
+                lines = np.concatenate(([0], np.cumsum(x == 10)))
+                at, to = starts[s], ends[s + window - 1]
+                cols = [np.full(len(s), row), runs_of(h, window)[s].view(np.int64), s.astype(np.int32), lines[at].astype(np.int32), points[at], points[to]]
+                arrays = [pa.array(c) for c in cols] + [pa.array([doc_id] * len(s), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in WINDOWS.split(", ")])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
+    """The columns of repeated_paragraphs for every passage of at least window words that another document has word by word.
+
+    Lines don't matter: a passage can lie inside a line or run over many. Winnowing (grams of half a window, the least of
+    every window's grams) picks a gram from every window by the window's words alone, so a window that repeats has a gram
+    that repeats; windows around such grams are then counted themselves, so that exactly the windows found in two documents
+    or more are left, without a bound on their number. Consecutive windows that stand first, by (doc_id, row), in the same
+    row of docs make one passage; it stays in that row and can be removed in others. Passages of one document with
+    different first rows can overlap. cluster_id is the passage's first window, n_places the places of its most frequent
+    one, paragraph the line of its start.
+    """
+    scratch = Scratch(docs.sparkSession, "passages")
+    source = scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "source")
+    grams = scratch.table(source.select("row", "text").mapInArrow(_grams(window), "row long, gram long, at int"), "grams")
+    shared = lambda df, key: df.groupBy(key).agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select(key)
+    again = scratch.table(shared(grams, "gram"), "again")
+    hits = scratch.table(grams.join(again.hint("merge"), "gram", "left_semi").groupBy("row").agg(F.collect_list("at").alias("hits")), "hits")
+    windows = scratch.table(source.join(hits.hint("merge"), "row").mapInArrow(_windows(window), WINDOWS), "windows")
+    scratch.drop(source, grams, again, hits)
+
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    known = windows.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
+    known = scratch.table(known.select("run", F.col("first.row").alias("first_row"), F.col("first.doc_id").alias("first_doc_id"), "n"), "known")
+    found = windows.join(known.hint("merge"), "run")
+    inside = Window.partitionBy("row").orderBy("at")
+    goes_on = (F.lag("at").over(inside) == F.col("at") - 1) & (F.lag("first_row").over(inside) == F.col("first_row"))
+    marked = found.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("passage", F.sum("new").over(inside))
+    out = marked.groupBy("row", "passage").agg(F.min(F.struct("at", "run", "line", "start", "doc_id", "first_doc_id", (F.col("first_row") != F.col("row")).alias("removed"))).alias("x"), F.max("end").alias("end"), F.max("at").alias("last"), F.max("n").alias("n_places"))
+    return out.select("row", "x.doc_id", F.col("x.line").alias("paragraph"), "x.start", (F.col("end") - F.col("x.start")).alias("length"), (F.col("last") - F.col("x.at") + window).cast("int").alias("n_words"), F.col("x.run").alias("cluster_id"), "n_places", "x.first_doc_id", "x.removed")
+
+
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph of all documents that repeats in another document."""
-    return repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
+    """Every paragraph of all documents that repeats in another document, and every passage of 50 words or more that does.
+
+    A passage that is a paragraph too has a row of each kind.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return repeated_paragraphs(docs).unionByName(repeated_passages(docs)).drop("row")

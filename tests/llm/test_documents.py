@@ -435,3 +435,48 @@ def test_bands_find_similar_sets():
         a, b = maker.of([w, v])
         hit += bool((a == b).any())
     assert hit / n > 0.98
+
+
+def test_passages_inside_and_across_lines(spark):
+    """A passage within longer lines, over line ends and in short lines is found whole, and nothing beside it."""
+    import random
+
+    r = random.Random(3)
+    line = lambda n: " ".join("".join(r.choices("abcdefghij文", k=6)) for _ in range(n))
+    p = line(60)
+    w = p.split()
+    rows = [
+        (1, f"{line(200)} {p} {line(200)}"),
+        (2, f"{line(30)}\n{line(9)} {' '.join(w[:20])}\n{' '.join(w[20:])} {line(90)}"),
+        (3, "\n".join(" ".join(w[k : k + 10]).upper() for k in range(0, 60, 10))),
+        (4, f"{line(100)} {' '.join(w[:49])} {line(100)}"),
+        (5, f"{(z := line(55))}\n{z}"),
+        (None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in repeats.repeated_passages(docs).collect()}
+    t = dict(rows)
+    assert set(got) == {1, 2, 3} and repeats.repeated_passages(docs).count() == 3
+    assert all(t[d][x.start : x.start + x.length].lower().split() == p.lower().split() for d, x in got.items())
+    assert [(got[d].removed, got[d].n_words, got[d].paragraph, got[d].n_places, got[d].first_doc_id) for d in (1, 2, 3)] == [(False, 60, 0, 3, 1), (True, 60, 1, 3, 1), (True, 60, 0, 3, 1)]
+    assert len({x.cluster_id for x in got.values()}) == 1
+
+
+def test_passages_are_all_windows_that_repeat(spark, small, odd, none):
+    """The words under passages are those of all 50-word windows that another document has."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    spans = {r.doc_id: [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", r.text or "")] for r in docs.collect()}
+    words = {r.doc_id: [w.lower() for w in (r.text or "").encode().split()] for r in docs.collect()}
+    where = defaultdict(set)
+    for d, w in words.items():
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add(d)
+    want = {(d, i) for d, w in words.items() for k in range(len(w) - 49) if len(where[tuple(w[k : k + 50])]) > 1 for i in range(k, k + 50)}
+    got = set()
+    for x in repeats.repeated_passages(docs).collect():
+        inside = [i for i, (a, b) in enumerate(spans[x.doc_id]) if x.start <= a and b <= x.start + x.length]
+        assert len(inside) == x.n_words
+        got |= {(x.doc_id, i) for i in inside}
+    assert want and got == want
+    assert repeats.repeated_passages(odd).count() == 0 and repeats.repeated_passages(none).count() == 0
+    assert {c for c in repeats.op2_repeats(spark, small).columns} == {"doc_id", "paragraph", "start", "length", "n_words", "cluster_id", "n_places", "first_doc_id", "removed"}
