@@ -8,9 +8,10 @@ verified by the exact Jaccard similarity of its shingle sets, and verified pairs
 
 Within a band's bucket classes are ordered by their next band, so that those which share both stand together. Each is
 paired with the ``near`` classes before it, so a bucket of up to near + 1 classes is compared in full, and in larger ones
-also with the ``hubs`` most widely occurring. Work stays in proportion to a bucket's size. A link that a large bucket
-leaves out is found where the pair meets in another of its bands, or through the hub that both resemble, such as the text
-that a group of near copies was made from.
+also with the ``hubs`` most widely occurring. Components of these links settle most of a large bucket: pairs within one
+component need no look. In a second pass every class outside its bucket's largest component is compared with all classes
+of the bucket in other components, so each pair that shares a band is verified or implied by a component. Its work is the
+classes outside times the size of the bucket, at worst the square of a bucket in which few classes are alike.
 
 A cluster is reported if it lies in two documents or more; its first paragraph by (doc_id, place) stays, all others can be
 removed. Defined cases: null and empty texts have no paragraph; repeated rows are documents of their own; a null doc_id
@@ -157,6 +158,23 @@ def _verify(least: float):
     return run
 
 
+def _across(big: DataFrame, linked: DataFrame, scratch: Scratch, part: int = 256) -> DataFrame:
+    """u, v: pairs of a bucket in different components, but for pairs of which neither is outside the bucket's largest one.
+
+    A bucket is dealt in parts of about ``part`` classes, each of which meets all classes outside the largest component.
+    """
+    named = big.select("band", "class", "size").join(linked.hint("merge"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = scratch.table(named, "named")
+    kinds = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = kinds.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+    mixed_ones = scratch.table(named.join(largest.hint("merge"), "band"), "mixed")
+    parts = F.ceil(F.col("size") / part).cast("int")
+    a = mixed_ones.where("component <> largest").select("band", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("class").alias("a"), F.col("component").alias("of_a"))
+    b = mixed_ones.select("band", F.pmod(F.xxhash64("class"), parts).cast("int").alias("part"), F.col("class").alias("b"), F.col("component").alias("of_b"))
+    met = a.hint("merge").join(b, ["band", "part"]).where("of_a <> of_b")
+    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def repeated_paragraphs(docs: DataFrame, min_words: int = 20, similarity: float = 0.8, bands: int = 12, rows: int = 4, near: int = 8, hubs: int = 4) -> DataFrame:
     """row, doc_id, paragraph, start, length, n_words, cluster_id, n_places, first_doc_id, removed: every repeated paragraph."""
     scratch = Scratch(docs.sparkSession, "repeats")
@@ -169,19 +187,30 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, similarity: float
     counted = told.groupBy("band", "class", "next").agg(F.count(F.lit(1)).alias("n"))
     wide = Window.partitionBy("band").orderBy(F.desc("n"), "class").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     like = Window.partitionBy("band").orderBy("next", "class").rowsBetween(-near, -1)
-    seen = counted.select("class", F.collect_list("class").over(like).alias("before"), F.array(*[F.nth_value("class", k + 1).over(wide) for k in range(hubs)]).alias("hubs"))
-    met = seen.select(F.col("class").alias("a"), F.explode(F.array_compact(F.concat("before", "hubs"))).alias("b")).where("a <> b")
+    seen = counted.select("band", "class", F.count(F.lit(1)).over(wide).alias("size"), F.collect_list("class").over(like).alias("before"), F.array(*[F.nth_value("class", k + 1).over(wide) for k in range(hubs)]).alias("hubs"))
+    shared = scratch.table(seen.where("size > 1"), "shared")
+    met = shared.select(F.col("class").alias("a"), F.explode(F.array_compact(F.concat("before", "hubs"))).alias("b")).where("a <> b")
     pairs = scratch.table(met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
 
-    wanted = scratch.table(pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct(), "wanted")
     # The wanted classes grow with the documents, so the join is by shuffle at every size; the same shuffle serves the pick.
+    wanted = scratch.table(shared.select("class").distinct(), "wanted")
     texts = docs.select("text").mapInArrow(_texts(min_words), "class long, text binary").join(wanted.hint("merge"), "class", "left_semi").dropDuplicates(["class"])
     texts = scratch.table(texts, "texts")
-    with_a = pairs.join(texts.select(F.col("class").alias("u"), F.col("text").alias("a")), "u")
-    with_both = with_a.join(texts.select(F.col("class").alias("v"), F.col("text").alias("b")), "v")
-    edges = with_both.select("u", "v", "a", "b").mapInArrow(_verify(similarity), "u long, v long")
-    linked = scratch.table(connected_components(edges, scratch).withColumnRenamed("node", "class"), "linked")
-    scratch.drop(pairs, wanted, texts)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(texts.select(F.col("class").alias("u"), F.col("text").alias("a")), "u")
+        with_both = with_a.join(texts.select(F.col("class").alias("v"), F.col("text").alias("b")), "v")
+        return with_both.select("u", "v", "a", "b").mapInArrow(_verify(similarity), "u long, v long")
+
+    linked = scratch.table(connected_components(links(pairs), scratch).withColumnRenamed("node", "class"), "linked")
+    rest = scratch.table(_across(shared.where(F.col("size") > near + 1), linked, scratch), "rest")
+    more = links(rest).join(linked.select(F.col("class").alias("u"), F.col("component").alias("p")), "u", "left").join(linked.select(F.col("class").alias("v"), F.col("component").alias("q")), "v", "left")
+    joined = scratch.table(connected_components(more.select(F.coalesce("p", "u").alias("u"), F.coalesce("q", "v").alias("v")), scratch), "joined")
+    # The first links' components, renamed where the second pass joined them; classes that only it linked come in by themselves.
+    renamed = linked.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("class", F.coalesce("to", "component").alias("component"))
+    fresh = joined.join(linked.select(F.col("class").alias("node")), "node", "left_anti").select(F.col("node").alias("class"), "component")
+    linked = scratch.table(renamed.unionByName(fresh), "all_linked")
+    scratch.drop(shared, pairs, wanted, texts, rest)
 
     clustered = scratch.table(places.drop("bands").join(linked, "class", "left").withColumn("cluster", F.coalesce("component", "class")).drop("class", "component"), "clustered")
     scratch.drop(places, linked)

@@ -480,3 +480,41 @@ def test_passages_are_all_windows_that_repeat(spark, small, odd, none):
     assert want and got == want
     assert repeats.repeated_passages(odd).count() == 0 and repeats.repeated_passages(none).count() == 0
     assert {c for c in repeats.op2_repeats(spark, small).columns} == {"doc_id", "paragraph", "start", "length", "n_words", "cluster_id", "n_places", "first_doc_id", "removed"}
+
+
+def test_repeats_verify_every_pair_of_a_large_bucket(spark):
+    """With neighbours and hubs narrowed, pairs that a bucket's first pass leaves out are still linked."""
+    import random
+
+    r = random.Random(5)
+    base = [f"w{r.random():.9f}" for _ in range(104)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for at in r.sample(range(104), 3 if k % 3 else 2):
+            w[at] = f"x{r.random():.9f}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [repeats.shingles(t.encode()) for _, t in rows]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    parent = list(range(len(rows)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    maker = repeats.Bands()
+    bands = maker.of([t.encode().split() for _, t in rows])
+    for a in range(len(rows)):
+        for b in range(a):
+            if (bands[a] == bands[b]).any() and alike(a, b):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    groups = defaultdict(set)
+    for k in range(len(rows)):
+        groups[find(k)].add(k)
+    want = sorted(map(sorted, (g for g in groups.values() if len(g) > 1)))
+    got = defaultdict(set)
+    for x in repeats.repeated_paragraphs(docs, near=1, hubs=1).collect():
+        got[x.cluster_id].add(x.doc_id)
+    assert want and sorted(map(sorted, got.values())) == want
