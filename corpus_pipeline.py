@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that run() writes
 one's docs. All but the last return the columns of documents.
 
 * language: documents whose language the compression classifier rejects go (no letter, or a margin too narrow).
-* near_duplicates: of every SimHash component one document stays, that of the smallest doc_id.
+* near_duplicates: of every SimHash component one document stays, that of the smallest doc_id; then of every cluster of
+  texts whose five-word shingles are 0.8 alike (Jaccard).
 * secrets: found secrets are replaced by a mark; every document stays, its n_chars follows.
 * mixture: rows are repeated or left out so that sources come near their target weights.
 * packing: the pieces of token sequences.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import langid, mixing, packing, secrets, simhash
+from spanloom.llm import langid, mixing, packing, repeats, secrets, simhash
 from spanloom.llm.common import Scratch, remainder
 
 
@@ -28,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return repeats.keep_first(simhash.keep_first(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

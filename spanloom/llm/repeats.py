@@ -221,6 +221,22 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, similarity: float
     return clustered.join(found, "cluster").select("row", "doc_id", "paragraph", "start", "length", "n_words", F.col("cluster").alias("cluster_id"), "n_places", F.col("first.doc_id").alias("first_doc_id"), (~first).alias("removed"))
 
 
+def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each cluster of texts alike as a whole: the smallest doc_id (null last, then by place in docs).
+
+    Texts are compared like paragraphs, by the Jaccard similarity of their five-word shingles; those of under five words stay.
+    """
+    scratch = Scratch(docs.sparkSession, "alike")
+    rows = scratch.table(docs.withColumn("_sl_row", F.monotonically_increasing_id()), "documents")
+    whole = rows.select(F.col("_sl_row").alias("doc_id"), F.translate("text", "\n", " ").alias("text"))
+    found = repeated_paragraphs(whole, SHINGLE, similarity).select(F.col("doc_id").alias("_sl_row"), "cluster_id")
+    ids = rows.select("_sl_row", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), "_sl_row").alias("place"))
+    placed = scratch.table(found.join(ids, "_sl_row"), "placed")
+    first = placed.groupBy("cluster_id").agg(F.min("place").alias("first"))
+    gone = placed.join(first, "cluster_id").where(F.col("_sl_row") != F.col("first._sl_row")).select("_sl_row")
+    return rows.join(gone, "_sl_row", "left_anti").select(*docs.columns)
+
+
 def word_hashes(text: str | None) -> tuple[bytes, np.ndarray]:
     """The text in UTF-8, A-Z as a-z, and a hash of each of its words."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()

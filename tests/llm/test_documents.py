@@ -518,3 +518,25 @@ def test_repeats_verify_every_pair_of_a_large_bucket(spark):
     for x in repeats.repeated_paragraphs(docs, near=1, hubs=1).collect():
         got[x.cluster_id].add(x.doc_id)
     assert want and sorted(map(sorted, got.values())) == want
+
+
+def test_the_pipeline_keeps_one_of_near_copies(spark, odd, none):
+    """Texts at 0.8 that differ in words, too far apart for two bits of SimHash, leave one row, that of the smallest doc_id."""
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(11)
+    line = lambda n: " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(n))
+    a, b = line(200), line(200)
+    near = a.split()
+    near[20], near[120] = "other", "words"
+    far = b.split()
+    for k in range(5, 200, 20):
+        far[k] = "x"
+    rows = [(9, a.replace(" ", "\n", 3)), (4, " ".join(near)), (5, b), (6, " ".join(far)), (None, "a b"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert (plain_fingerprint(a) ^ plain_fingerprint(" ".join(near))).bit_count() > 2
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(str(x.doc_id) for x in kept.collect()) == ["4", "5", "6", "7", "None"] and kept.columns == docs.columns
+    assert repeats.keep_first(none).count() == 0 and repeats.keep_first(odd).columns == odd.columns
