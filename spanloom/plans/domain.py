@@ -1,4 +1,4 @@
-"""Sequence, variant and model kernels applied to the text and order tables. Every query reads its whole tables."""
+"""Sequence, variant and model kernels applied to the text and order tables. positional_consensus and region_median_depth use windows."""
 
 from __future__ import annotations
 
