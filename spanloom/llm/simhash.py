@@ -2,8 +2,9 @@
 
 Two fingerprints at most ``radius`` bits apart both lie within half the radius of some common value. Every distinct
 fingerprint therefore emits all values within half the radius; values that two fingerprints share are where pairs meet.
-All fingerprints in one such bucket are within the radius of each other (triangle inequality), so a bucket is joined by
-edges to its smallest member, in proportion to its size; each edge is verified again by its own bit count.
+All fingerprints in one such bucket are within the radius of each other (triangle inequality; for an odd radius of those that
+are within its lower half of the value), so a bucket is joined by edges to its smallest such member, in proportion to its
+size; each edge is verified again by its own bit count.
 
 Defined cases: a null text counts as empty; a text without a word has the fingerprint zero and links like any other; a
 text of fewer words than a shingle has one shingle, the whole sequence; repeated rows stay, each with its component; a
@@ -84,7 +85,9 @@ def components(prints: DataFrame, scratch: Scratch, radius: int = 2) -> DataFram
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("fp").alias("of")))
     classes = scratch.table(prints.groupBy("fp").agg(first.alias("first")), "classes")
     met = classes.select("fp", F.explode(ball("fp", (radius + 1) // 2)).alias("at"))
-    pairs = met.select(F.col("fp").alias("v"), F.min("fp").over(Window.partitionBy("at")).alias("u")).where("u <> v")
+    # An odd radius is half on one side and a bit more on the other: the smallest is one of those within the lower half.
+    close = F.when(F.bit_count(F.col("fp").bitwiseXOR(F.col("at"))) <= radius // 2, F.col("fp"))
+    pairs = met.select(F.col("fp").alias("v"), F.min(close).over(Window.partitionBy("at")).alias("u")).where("u <> v")
     edges = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
     linked = connected_components(edges, scratch)
     named = scratch.table(classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "named")

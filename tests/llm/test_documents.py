@@ -540,3 +540,26 @@ def test_the_pipeline_keeps_one_of_near_copies(spark, odd, none):
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(str(x.doc_id) for x in kept.collect()) == ["4", "5", "6", "7", "None"] and kept.columns == docs.columns
     assert repeats.keep_first(none).count() == 0 and repeats.keep_first(odd).columns == odd.columns
+
+
+def test_simhash_links_at_odd_radii(spark):
+    """Pairs at an odd radius are linked where the smallest of a bucket is near neither."""
+    prints = spark.createDataFrame([(k, x) for k, x in enumerate([1, 2, 4, 1 << 20, 1 << 20 | 2, 0b11100000000, 0b11000000000, 0b10000000001])], "doc_id long, fp long")
+    fps = [r.fp for r in prints.collect()]
+    for radius in (1, 3):
+        parent = {a: a for a in fps}
+
+        def find(a):
+            while parent[a] != a:
+                a = parent[a]
+            return a
+
+        for a in fps:
+            for b in fps:
+                if (a ^ b).bit_count() <= radius:
+                    parent[max(find(a), find(b))] = min(find(a), find(b))
+        want = {a: min(k for k, b in enumerate(fps) if find(b) == find(a)) for a in fps}
+        assert {r.fp: r.component_id for r in simhash.components(prints, Scratch(spark, "t"), radius).collect()} == want
+    # 192 and 193 each share a value with a smaller one that the other is not near.
+    chain = spark.createDataFrame([(0, 192), (1, 193), (2, 64), (3, 129)], "doc_id long, fp long")
+    assert {r.component_id for r in simhash.components(chain, Scratch(spark, "t"), 1).collect()} == {0}
