@@ -1,14 +1,17 @@
 """Language identification by compression: the language whose dictionary makes the text smallest.
 
-Each language gets one raw-content zstandard dictionary, made of whole labelled training texts. A text is cut into blocks
+Each language gets one raw-content zstandard dictionary, made of labelled training texts. A text is cut into blocks
 of ``block`` bytes, every block is compressed with every dictionary, and the language with the smallest sum wins. The
 margin is the share of bytes that the winner saves against the runner-up; ``reject`` marks texts whose margin is narrow.
 
 Training reads a bounded sample, as a parameter: of each language the ``per_language`` training rows with the smallest
-hash in as many hash slots, joined up to ``dictionary_bytes``. Prediction reads every byte of every text.
+hash in as many hash slots, and of each of these as many first bytes as make ``dictionary_bytes`` when all give alike.
+Prediction reads every byte of every text.
 
 Defined cases: null texts and texts without a letter get ``und`` with score 0 and are rejected; without any labelled
-training row every text is ``und``; ties go to the language first by code point; a single learned language scores 1.
+training row every text is ``und``; ties go to the language first by code point; a single learned language scores 1;
+repeated rows are told each and alike; very long texts are read block by block, in memory that their length bounds; columns
+named _sl_lang, _sl_score or _sl_reject are not to come with the input; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,21 +40,29 @@ def plain(text: str | None) -> bytes:
 
 
 def fit(docs: DataFrame, train: Column, per_language: int = 96, dictionary_bytes: int = 96 << 10) -> dict[str, bytes]:
-    """A dictionary for each language of docs (doc_id, text, lang) where train holds."""
+    """A dictionary for each language of docs (doc_id, text, lang) where train holds.
+
+    Of a sampled text as much enters as makes the dictionary full when all give alike, a bound that is set by language: the
+    smallest number of bytes of each text that together fill ``dictionary_bytes``. Texts are cut before they are sent.
+    """
     slot = F.xxhash64(F.col("doc_id").cast("string"), F.lit(8))
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "doc_id", slot.alias("h"))
     picked = rows.groupBy("lang", F.pmod("h", F.lit(per_language)).alias("s")).agg(F.min("h").alias("h")).collect()
     chosen = docs.where(train & F.col("lang").isNotNull() & slot.isin([r["h"] for r in picked])) if picked else docs.limit(0)
     texts = defaultdict(set)
-    for r in chosen.groupBy("lang", slot.alias("h")).agg(F.min("text").alias("text")).toLocalIterator():
+    for r in chosen.groupBy("lang", slot.alias("h")).agg(F.left(F.min("text"), F.lit(dictionary_bytes)).alias("text")).toLocalIterator():
         texts[r["lang"]].add((r["h"], r["text"] or ""))
-    share = max(1, dictionary_bytes // max(1, per_language))
     out = {}
     for lang, found in sorted(texts.items()):
-        # The longest share of each text first; short texts leave room that the longer ones fill.
         parts = [plain(t) for _, t in sorted(found)]
-        while sum(min(len(p), share) for p in parts) < min(dictionary_bytes, sum(map(len, parts))):
-            share *= 2
+        room = dictionary_bytes - len(parts)
+        # Short texts leave room that the longer ones share.
+        share, left = max(1, room), room
+        for k, n in enumerate(sorted(map(len, parts))):
+            share = max(1, left // (len(parts) - k))
+            if n > share:
+                break
+            left -= n
         out[lang] = b" ".join(p[:share] for p in parts)[:dictionary_bytes]
     return out
 

@@ -21,7 +21,7 @@ import hashlib
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,11 +77,13 @@ def pivot(sizes: np.ndarray, p: np.ndarray, draw) -> np.ndarray:
 
 
 def _round(seed: int, level: int):
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["size", "path", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        ids, paths = g["doc_id"].tolist(), g["path"].tolist()
-        g["p"] = pivot(g["size"].to_numpy(float), g["p"].to_numpy(float), lambda i, j: uniform(seed, level, ids[i], paths[i], ids[j], paths[j]))
-        return g
+    """One level of the tree: the fractions of a group, in a total order. Ids stay whole numbers or null."""
+
+    def run(g: pa.Table) -> pa.Table:
+        g = g.sort_by([("size", "descending"), ("path", "ascending"), ("doc_id", "ascending")])
+        ids, paths = g.column("doc_id").to_pylist(), g.column("path").to_pylist()
+        p = pivot(g.column("size").to_numpy().astype(float), g.column("p").to_numpy(), lambda i, j: uniform(seed, level, ids[i], paths[i], ids[j], paths[j]))
+        return g.select([c.split()[0] for c in STATE.split(", ")]).set_column(4, "p", pa.array(p, pa.float64()))
 
     return run
 
@@ -108,7 +110,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     )
     done, level, most_groups = [], 0, max((k[5] for k in known), default=1)
     while True:
-        state = scratch.table(state.groupBy("source_id", F.col("path").alias("g")).applyInPandas(_round(seed, level), STATE), f"level{level}")
+        state = scratch.table(state.groupBy("source_id", F.col("path").alias("g")).applyInArrow(_round(seed, level), STATE), f"level{level}")
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(state.where(~open_))
         state = state.where(open_)

@@ -4,10 +4,13 @@ Documents come one at a time. Full windows are cut off a long one; what remains
 makes the sum over all levels of (number of windows at that level) squared smallest; the counts are an array by level, so
 a placement is one vector expression. Each task packs its own documents. When a task ends, its open windows are merged by
 cutting: the emptiest are poured into the gaps of the fullest, and the last one is split at powers of two, the lengths
-that need no padding. Open windows are also merged when more than ``most_open`` have gathered, so memory stays bounded.
+that need no padding. Placing goes on however many windows are open: a task holds at most the ids of its own input, two
+bytes each where the tokenizer's ids fit, so its memory is bounded by the size of a split (128 MB of Parquet by default).
+``most_open`` can be set to merge open windows earlier; by default it isn't.
 
-Defined cases: a null text counts as empty and yields the end token alone; repeated rows are packed each; an empty table
-gives no sequence. A sequence id is the task's number in the high bits and a running number in the low 40.
+Defined cases: a null text counts as empty and yields the end token alone; a very long text fills windows of its own and
+only its end is placed; repeated rows are packed each, a null doc_id like any other; other columns are not read; an empty
+table gives no sequence. A sequence id is the task's number in the high bits and a running number in the low 40.
 """
 
 from __future__ import annotations
@@ -140,7 +143,7 @@ def word_cache(tokenizer_file: str) -> WordCache:
 class Packer:
     """Open windows by fill level. A piece is (doc number, start in the document, ids)."""
 
-    def __init__(self, window: int = WINDOW, most_open: int = 2048):
+    def __init__(self, window: int = WINDOW, most_open: int | None = None):
         self.window, self.most_open = window, most_open
         self.level = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list]] = defaultdict(list)
@@ -175,7 +178,7 @@ class Packer:
         self.open[at + size].append(held)
         self.level[at + size] += 1
         self.n_open += 1
-        return self.merge(last=False) if self.n_open > self.most_open else []
+        return self.merge(last=False) if self.most_open and self.n_open > self.most_open else []
 
     def merge(self, last: bool) -> list[list[tuple]]:
         """Full windows out of the open ones, by cutting the emptiest into the gaps of the fullest; last: the rest too."""
@@ -235,7 +238,7 @@ class Packer:
         return out
 
 
-def pack_documents(docs: Iterator[tuple[int | None, np.ndarray]], window: int = WINDOW, most_open: int = 2048) -> Iterator[list[tuple]]:
+def pack_documents(docs: Iterator[tuple[int | None, np.ndarray]], window: int = WINDOW, most_open: int | None = None) -> Iterator[list[tuple]]:
     """Sequences, each a list of pieces (doc_id, start, ids, tokens of the document)."""
     packer = Packer(window, most_open)
     for doc_id, ids in docs:
@@ -244,11 +247,12 @@ def pack_documents(docs: Iterator[tuple[int | None, np.ndarray]], window: int =
             yield [(doc, k, ids[k : k + window])]
         if full < len(ids):
             # A copy, so that an open window doesn't keep a long document's ids.
-            yield from packer.add((doc, full, ids[full:].copy()))
+            rest = ids[full:]
+            yield from packer.add((doc, full, rest.astype(np.uint16) if rest.max() < 1 << 16 else rest.copy()))
     yield from packer.merge(last=True)
 
 
-def _pack(tokenizer_file: str, window: int, most_open: int):
+def _pack(tokenizer_file: str, window: int, most_open: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer_file)
         parts = (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS))
@@ -274,7 +278,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, most_open: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, most_open: int | None = None) -> DataFrame:
     """One row for each piece of a document (doc_id, text); no shuffle."""
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_pack(tokenizer_file, window, most_open), PIECES)
 

@@ -5,7 +5,8 @@ in the order of rejection per cost, and a text that one rule rejects is not show
 order changes the work, never the verdict: a text is kept if and only if no rule rejects it. So rules may be dear.
 
 Defined cases: a null text counts as empty, without words; empty texts fail the base rule of 50 words; repeated rows are
-judged each; an empty table gives an empty result, in the order in which the rules are written.
+judged each; a very long text is judged whole, in one row; columns named like the measures (_sl_*) are replaced by them, all
+others stay; an empty table gives an empty result, in the order in which the rules are written.
 """
 
 from __future__ import annotations
@@ -32,11 +33,18 @@ def _share(part: Column, whole: str, least: float) -> Column:
     return part > least * F.col(whole)
 
 
-#: More symbols than a tenth of the words, three in ten of at least ten lines repeated (of fewer a share says little), odd word lengths, few words with a letter,
+def _surely(part: str, whole: str, least: float, z: float = 1.96) -> Column:
+    """Whether the share of part in whole is over least even at the lower end of its 95 % interval (Wilson's)."""
+    n, p = F.col(whole).cast("double"), F.col(part) / F.greatest(F.col(whole), F.lit(1))
+    low = p + F.lit(z * z / 2) / n - F.lit(z) * F.sqrt(p * (1 - p) / n + F.lit(z * z / 4) / (n * n))
+    return (n > 0) & (low > F.lit(least) * (1 + F.lit(z * z) / n))
+
+
+#: More symbols than a tenth of the words, surely more than three in ten lines repeated, odd word lengths, few words with a letter,
 #: mostly capital letters, most lines cut off, most lines bullets.
 RULES = (
     Rule("symbols", lambda: _share(F.col("_sl_symbols"), "_sl_words", 0.1)),
-    Rule("repeated_lines", lambda: (F.col("_sl_lines") >= 10) & _share(F.col("_sl_dup_lines"), "_sl_lines", 0.3)),
+    Rule("repeated_lines", lambda: _surely("_sl_dup_lines", "_sl_lines", 0.3)),
     Rule("word_length", lambda: ~F.col("_sl_word_chars").between(2.5 * F.col("_sl_words"), 12.0 * F.col("_sl_words"))),
     Rule("few_letters", lambda: F.size(F.filter("_sl_w", lambda x: x.rlike(r"\p{L}"))) < 0.7 * F.col("_sl_words")),
     Rule("capitals", lambda: F.length(F.regexp_replace("_sl_text", r"[^\p{Lu}]+", "")) > 0.5 * F.length(F.regexp_replace("_sl_text", r"[^\p{L}]+", ""))),
@@ -48,13 +56,13 @@ RULES = (
 def measured(docs: DataFrame) -> DataFrame:
     """docs with words, lines and the counts of the base rules, all in columns _sl_*.
 
-    A three-word window found twice marks its words: windows are sorted with their places, equal neighbours are repeats,
-    and the places they cover are summed in order, so a text costs its length times the logarithm of it.
+    A three-word window found twice marks its words: 64-bit hashes of windows are sorted with their places, equal neighbours
+    are repeats, and the places they cover are summed in order, so a text costs its length times the logarithm of it.
     """
     n = F.col("_sl_words")
-    window = lambda x, i: F.struct(F.concat_ws(" ", x, F.get("_sl_w", i + 1), F.get("_sl_w", i + 2)).alias("s"), i.alias("i"))
+    window = lambda x, i: F.struct(F.xxhash64(x, F.get("_sl_w", i + 1), F.get("_sl_w", i + 2)).alias("s"), i.alias("i"))
     twice = lambda e, k: (F.get("_sl_win", k + 1)["s"] == e["s"]) | (F.get("_sl_win", k - 1)["s"] == e["s"])
-    places = F.array_sort(F.transform(F.filter("_sl_win", lambda e, k: F.coalesce(twice(e, k), F.lit(False))), lambda e: e["i"]))
+    places = F.sort_array(F.transform(F.filter("_sl_win", lambda e, k: F.coalesce(twice(e, k), F.lit(False))), lambda e: e["i"]))
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(-3).alias("last"))
     cover = F.aggregate("_sl_places", start, lambda a, p: F.struct((a["total"] + F.least(F.lit(3), p - a["last"])).alias("total"), p.alias("last")), lambda a: a["total"])
     return (
@@ -66,7 +74,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 "_sl_word_chars": F.length(F.array_join("_sl_w", "")).cast("long"),
                 "_sl_symbols": F.length(F.regexp_replace("_sl_text", r"[^#*$%&|<>]+", "")).cast("long"),
                 "_sl_dup_lines": (F.col("_sl_lines") - F.size(F.array_distinct("_sl_l"))).cast("long"),
-                "_sl_win": F.when(n >= 3, F.array_sort(F.transform(F.slice("_sl_w", F.lit(1), F.greatest(n - 2, F.lit(0)).cast("int")), window))).otherwise(F.array()),
+                "_sl_win": F.when(n >= 3, F.sort_array(F.transform(F.slice("_sl_w", F.lit(1), F.greatest(n - 2, F.lit(0)).cast("int")), window))).otherwise(F.array()),
             }
         )
         .withColumn("_sl_places", places)
@@ -74,11 +82,15 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def in_order(rows: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000, fraction: float = 0.1) -> list[Rule]:
-    """rules by rejection per second on at most sample_rows rows of measured rows; rules that reject nothing come last."""
-    scratch = Scratch(rows.sparkSession, "quality")
+def in_order(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000) -> list[Rule]:
+    """rules by rejection per second on about sample_rows rows of docs (text); rules that reject nothing come last.
+
+    Every row is drawn with the same odds, which follow from the count, so what is drawn doesn't grow with the table.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
     needed = ["_sl_text", "_sl_w", "_sl_l", "_sl_words", "_sl_lines", "_sl_word_chars", "_sl_symbols", "_sl_dup_lines"]
-    sample = scratch.table(rows.sample(fraction, seed=9).select(*needed).limit(sample_rows).coalesce(1), "sample")
+    drawn = docs.select("text").sample(min(1.0, sample_rows / max(1, docs.count())), seed=9)
+    sample = scratch.table(measured(drawn).select(*needed).repartition(8), "sample")
 
     def timed(condition: Column) -> tuple[float, int]:
         began = time.perf_counter()
@@ -108,8 +120,7 @@ BASE = Rule("base", lambda: (F.col("_sl_words") < 50) | (100 * F.col("_sl_repeat
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 1000) -> DataFrame:
     """docs (text) with the measures and _sl_rejected_by; the base rule stands first."""
-    rows = measured(docs)
-    return cascade(rows, [BASE, *in_order(rows, rules, sample_rows)])
+    return cascade(measured(docs), [BASE, *in_order(docs, rules, sample_rows)])
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

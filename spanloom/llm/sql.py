@@ -27,11 +27,11 @@ from docs left join per using (row)
 SECRETS = _secrets()
 
 TOPK = """
-with e as (select vec_id, [floor(1024 * x::double)::bigint for x in embedding] as v from embeddings
+with e as (select row_number() over () as row, vec_id, [floor(1024 * x::double)::bigint for x in embedding] as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id as vec_id, list_sum([a * b for a, b in list_zip(q.v, c.v)])::bigint as score
+s as (select q.row, q.vec_id as query_id, c.vec_id as vec_id, list_sum([a * b for a, b in list_zip(q.v, c.v)])::bigint as score
   from e q join e c on c.vec_id <> q.vec_id where q.vec_id % 100 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s)
+r as (select *, row_number() over (partition by row order by score desc, vec_id)::integer as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 TOPK = TOPK.replace("[a * b for a, b in list_zip(q.v, c.v)]", "list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])")
@@ -46,7 +46,7 @@ marked as (select row, count(*) as n from (select distinct row, i + unnest([0, 1
 m as (select w.*, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
   len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words from w left join marked using (row)),
 v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  n_symbols > 0.1 * n_words or (len(l) >= 10 and n_dup_lines > 0.3 * len(l)) or word_chars < 2.5 * n_words or word_chars > 12.0 * n_words
+  n_symbols > 0.1 * n_words or (len(l) > 0 and n_dup_lines / greatest(len(l), 1) + 1.9208 / len(l) - 1.96 * sqrt(n_dup_lines / greatest(len(l), 1) * (1 - n_dup_lines / greatest(len(l), 1)) / len(l) + 0.9604 / (len(l)::double * len(l))) > 0.3 * (1 + 3.8416 / len(l))) or word_chars < 2.5 * n_words or word_chars > 12.0 * n_words
   or len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) < 0.7 * n_words
   or length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > 0.5 * length(regexp_replace(t, '[^\p{L}]+', '', 'g'))
   or len(list_filter(l, lambda x: regexp_matches(x, '(?:\.\.\.|…)[\x20\x09-\x0D]*$'))) > 0.5 * len(l)

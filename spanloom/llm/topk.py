@@ -10,8 +10,9 @@ Queries and candidates meet in groups of ``per_task`` blocks of at most ``block`
 every candidate group once, so a task holds so many blocks of each whatever the size of the table.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows without an id;
-shorter vectors count as padded with zeros; rows with the query's own id are no candidates; equal rows rank each; ties go
-to the smaller id; scores beyond 64 bits end at its bounds.
+shorter vectors count as padded with zeros; rows with the query's own id are no candidates; repeated rows are queries of
+their own and candidates of their own, so a query id that stands on two rows has two lists; ties go to the smaller id;
+an empty table gives an empty result; scores beyond 64 bits end at its bounds.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,17 +40,21 @@ def usable(x: Column) -> Column:
 
 
 def _blocks(order: list[int], size: int):
-    """Vertical blocks out of rows (vec_id, x): ids, and one row of doubles for each dimension in order."""
+    """Vertical blocks out of rows (vec_id, x): ids, and one row of doubles for each dimension in order.
+
+    A block's number is that of its task and a running one, so that equal rows in two tasks stay apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = len(order)
+        d, n, first = len(order), 0, TaskContext.get().partitionId() << 32
 
         def made(ids: list, xs: list) -> pa.RecordBatch:
             m = np.zeros((d, len(ids)))
             for k, x in enumerate(xs):
                 m[: len(x), k] = x
-            key = int(np.random.SeedSequence([len(ids), *(i & (2**63 - 1) for i in ids[:4])]).generate_state(1, np.uint64)[0] >> 1)
-            cols = [pa.array([key], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.ascontiguousarray(m[order]).tobytes()], pa.binary()), pa.array([len(ids)], pa.int32())]
+            nonlocal n
+            n += 1
+            cols = [pa.array([first + n], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.ascontiguousarray(m[order]).tobytes()], pa.binary()), pa.array([len(ids)], pa.int32())]
             return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "dims", "n"])
 
         ids, xs = [], []
@@ -136,8 +142,8 @@ def top_k(vectors: DataFrame, query: Column, k: int = 10, step: int = 16, block:
     queries = scratch.table(rows.where("is_query").select("vec_id", "x").mapInArrow(_blocks(order, block), BLOCK), "queries")
     groups, q_groups = (max(1, -(-t.count() // per_task)) for t in (candidates, queries))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    c = candidates.withColumn("g", F.pmod("block", F.lit(groups)).cast("int")).withColumn("qg", every(q_groups))
-    q = queries.withColumn("qg", F.pmod("block", F.lit(q_groups)).cast("int")).withColumn("g", every(groups))
+    c = candidates.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).withColumn("qg", every(q_groups))
+    q = queries.withColumn("qg", F.pmod(F.xxhash64("block"), F.lit(q_groups)).cast("int")).withColumn("g", every(groups))
     hits = q.groupBy("g", "qg").cogroup(c.groupBy("g", "qg")).applyInArrow(_search(k, step, width), HITS)
     rank = F.row_number().over(Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -171,6 +171,16 @@ def plain_targets(sizes):
     return [min(2 * s, hi * x) for s, x in zip(sizes, w)]
 
 
+def test_large_ids_beside_a_null_stay_what_they_are(spark):
+    ids = [2**53 + 1, 2**53 + 3, None, 5, -(2**62) - 1]
+    rows = [(d, "one two three " * (k + 1), "a", k) for k, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long")
+    got = mixing.mix(docs).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, ids))
+    without = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert all(without[r.doc_id] == r for r in got)
+
+
 def test_pivoting_keeps_mass_and_expectation():
     r = np.random.default_rng(1)
     sizes, p = r.integers(1, 50, 40).astype(float), r.random(40)
@@ -252,6 +262,15 @@ def test_the_level_chosen_has_the_smallest_sum_of_squares():
         p.add((0, 0, np.zeros(size, np.uint32)))
 
 
+def test_placing_goes_on_however_many_windows_are_open():
+    """Pieces of which no two fit together stay in windows of their own until the end."""
+    docs = [(k, np.arange(40, dtype=np.uint32)) for k in range(3000)]
+    p = packing.Packer(64)
+    assert not any(p.add(((k, 40), 0, ids)) for k, ids in docs) and p.n_open == 3000 and p.level[40] == 3000
+    out = list(packing.pack_documents(iter(docs), 64))
+    assert sum(len(x[2]) for s in out for x in s) == 3000 * 40
+
+
 def test_open_windows_are_bounded():
     r = np.random.default_rng(5)
     docs = [(k, np.arange(int(r.integers(1, 90)), dtype=np.uint32)) for k in range(400)]
@@ -357,13 +376,22 @@ def test_quality(spark, at):
         assert r.base_failed == (n < 50 or 100 * rep > 50 * n) and not (r.base_failed and r.kept)
 
 
+def test_repeated_lines_are_judged_at_every_length(spark):
+    """The share of repeated lines has to be over 0.3 at the lower end of its interval: the fewer lines, the more must repeat."""
+    rows = [(1, "a b\n" * 3 + "c\nd"), (2, "a b\n" * 6), (3, "a b\n" * 5 + "".join(f"l{k}\n" for k in range(6))), (4, "a b\n" * 500 + "".join(f"l{k}\n" for k in range(700))), (5, None)]
+    m = quality.measured(spark.createDataFrame(rows, "doc_id long, text string"))
+    rule = next(r for r in quality.RULES if r.name == "repeated_lines")
+    assert {r.doc_id for r in m.where(rule.rejects()).collect()} == {2, 4}
+
+
 def test_the_order_of_rules_does_not_change_the_verdict(spark, small):
-    rows = quality.measured(spark.read.parquet(f"{small}/documents.parquet"))
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = quality.measured(docs)
     verdicts = []
-    for rules in (quality.RULES, quality.RULES[::-1], quality.in_order(rows)):
+    for rules in (quality.RULES, quality.RULES[::-1], quality.in_order(docs)):
         verdicts.append(sorted((r.doc_id, r.k) for r in quality.cascade(rows, rules).select("doc_id", F.col("_sl_rejected_by").isNull().alias("k")).collect()))
     assert verdicts[0] == verdicts[1] == verdicts[2]
-    assert sorted(r.name for r in quality.in_order(rows)) == sorted(r.name for r in quality.RULES)
+    assert sorted(r.name for r in quality.in_order(docs)) == sorted(r.name for r in quality.RULES)
 
 
 # Paragraphs

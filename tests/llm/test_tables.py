@@ -87,6 +87,19 @@ def test_top_k(spark, step, block):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_top_k_of_repeated_rows(spark):
+    """A query id on two rows has two lists, however the rows are dealt to tasks."""
+    r = np.random.default_rng(4)
+    rows = [(k, r.normal(size=8).tolist()) for k in range(150)]
+    df = spark.createDataFrame([(*x, 1) for x in rows], VECTORS)
+    twice = df.union(df)
+    want = brute(rows + rows)
+    for n in (1, 2, 5):
+        got = topk.top_k(twice.coalesce(1) if n == 1 else twice.repartition(n), F.col("vec_id") % 100 == 0)
+        assert sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, topk.top_k(twice, F.col("vec_id") % 100 == 0).collect())) == want
+
+
 def test_top_k_of_few_huge_and_no_vectors(spark):
     q = F.col("vec_id") % 100 == 0
     few = [(0, [1.0, 2.0]), (1, [3.0, -1.0]), (100, [1e8, 1e8])]
