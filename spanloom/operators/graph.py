@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import Scratch
-from .ordered import per_session
+from .ordered import greedy_pairs, per_session
 
 
 def checksum(edges: DataFrame) -> tuple:
@@ -45,6 +45,19 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
+def greedy_matching(pairs: DataFrame, by: Sequence[str], a: str, b: str, cost: str, capacity_a: int = 1, capacity_b: int = 1, descending: bool = False) -> DataFrame:
+    """ordered.greedy_pairs within connected components of the pairs, so that a task holds no more than what interacts.
+
+    by: columns, such as a contig, within which ids of members hold. Members are told apart by 64-bit hashes, for the
+    components only: two that meet by chance make one component of two, with the same result.
+    """
+    scratch = Scratch(pairs.sparkSession, "matching")
+    kept = scratch.table(pairs.withColumns({"_u": F.xxhash64(F.lit("a"), *by, a), "_v": F.xxhash64(F.lit("b"), *by, b)}), "pairs")
+    found = connected_components(kept.select(F.col("_u").alias("u"), F.col("_v").alias("v")), scratch)
+    placed = kept.join(found.select(F.col("node").alias("_u"), F.col("component").alias("_component")), "_u").drop("_u", "_v")
+    return greedy_pairs(placed, ["_component"], a, b, cost, capacity_a, capacity_b, descending).drop("_component")
+
+
 class UnionFind:
     """Disjoint sets of 0..n-1; the root of a set is its smallest member."""
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 import bisect
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
@@ -38,18 +38,27 @@ def per_session(df: DataFrame, by: Sequence[str], start: str, end: str, gap: int
         yield from out.combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []  # parts of a session that may go on, each looked at once
+        last = None
         for b in batches:
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            if not t.num_rows:
+            if not b.num_rows:
                 continue
-            ids = list(zip(*[t.column(c).to_pylist() for c in keys]))
-            bounds = [0, *(k for k in range(1, len(ids)) if ids[k] != ids[k - 1])]
-            held = t.slice(bounds[-1])
+            ids = list(zip(*[b.column(c).to_pylist() for c in keys]))
+            bounds = [k for k in range(len(ids)) if ids[k] != (ids[k - 1] if k else last)]
+            last = ids[-1]
+            if not bounds:
+                held.append(b)
+                continue
+            if held or bounds[0]:
+                t = pa.Table.from_batches([*held, b.slice(0, bounds[0])])
+                yield from told(t, [0, t.num_rows])
             if len(bounds) > 1:
-                yield from told(t.slice(0, bounds[-1]), bounds)
-        if held is not None:
-            yield from told(held, [0, held.num_rows])
+                t = pa.Table.from_batches([b.slice(bounds[0], bounds[-1] - bounds[0])])
+                yield from told(t, [k - bounds[0] for k in bounds])
+            held = [b.slice(bounds[-1])]
+        if held:
+            t = pa.Table.from_batches(held)
+            yield from told(t, [0, t.num_rows])
 
     more = StructField(name, {pa.bool_(): BooleanType(), pa.int64(): LongType()}[kind], False)
     return dealt.mapInArrow(run, StructType([*df.schema.fields, more]))
@@ -80,23 +89,54 @@ def accept_by_capacity(df: DataFrame, by: Sequence[str], start: str, end: str, s
     return per_session(df, by, start, end, 0, [F.desc(score), *tie], use, scan, "accepted", pa.bool_())
 
 
+def per_group(df: DataFrame, keys: Sequence[str], order: Sequence, scan: Callable[[list[dict]], list[dict]], schema: str | StructType) -> DataFrame:
+    """The rows that scan makes of each group: it gets the rows of one key, in order, as dictionaries and gives dictionaries.
+
+    Rows are dealt by key and sorted by Spark, which spills; a task then reads them as a stream and holds one group at a
+    time, so many small groups cost no more than their rows.
+    """
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kinds = to_arrow_schema(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        out: list[dict] = []
+        for b in batches:
+            for row in b.to_pylist():
+                if held and any(row[k] != held[0][k] for k in keys):
+                    out += scan(held)
+                    held = []
+                    if len(out) >= 4096:
+                        yield pa.RecordBatch.from_pylist(out, kinds)
+                        out = []
+                held.append(row)
+        if held:
+            out += scan(held)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, wanted)
+
+
 def greedy_pairs(pairs: DataFrame, component: Sequence[str], a: str, b: str, cost: str, capacity_a: int = 1, capacity_b: int = 1, descending: bool = False) -> DataFrame:
     """pairs with accepted: in order of cost (then a, b) a pair is taken while both of its members have room.
 
-    component: columns within which members occur, such as a contig, or a connected component of the pairs.
+    component: columns within which members occur, such as a connected component of the pairs (graph.greedy_matching finds
+    these itself). cost can be a struct, which is compared field by field.
     """
 
-    def scan(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([cost, a, b], ascending=[not descending, True, True], kind="stable").reset_index(drop=True)
-        left, right, told = {}, {}, []
-        for x, y in zip(g[a], g[b]):
-            ok = left.get(x, 0) < capacity_a and right.get(y, 0) < capacity_b
-            if ok:
+    def scan(rows: list[dict]) -> list[dict]:
+        left: dict = {}
+        right: dict = {}
+        for r in rows:
+            x, y = r[a], r[b]
+            r["accepted"] = left.get(x, 0) < capacity_a and right.get(y, 0) < capacity_b
+            if r["accepted"]:
                 left[x], right[y] = left.get(x, 0) + 1, right.get(y, 0) + 1
-            told.append(ok)
-        return g.assign(accepted=told)
+        return rows
 
-    return pairs.groupBy(*component).applyInPandas(scan, StructType([*pairs.schema.fields, StructField("accepted", BooleanType(), False)]))
+    schema = StructType([*pairs.schema.fields, StructField("accepted", BooleanType(), False)])
+    return per_group(pairs, component, [F.desc(cost) if descending else F.col(cost), a, b], scan, schema)
 
 
 def anchored_chains(df: DataFrame, by: Sequence[str], at: str, reach: int, tie: Sequence[str] = ()) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranges import point_join
+
 
 def moments(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """n, mean and population deviation; an empty group has none of them."""
@@ -129,6 +131,24 @@ def size_interval(df: DataFrame, by: Sequence[str], x: str, population: float) -
     return agg.select(*by, "n", F.when(enough, (2.576 * F.sqrt(F.col("_v") / F.col("n"))).cast("long")).alias("half_width"), F.when(enough, F.abs(F.col("_m").cast("long") - F.lit(population)).cast("long")).alias("distance"))
 
 
+def reservoir(histogram: DataFrame, value: str, count: str, most: int = 100_000, seed: int = 0) -> DataFrame:
+    """value: a sample of at most ``most`` of the observations that a histogram stands for, all with equal odds.
+
+    Observations are numbered through the histogram; those with the smallest hashes of their numbers are taken, which no
+    order of rows changes. The histogram itself is a table of different values.
+    """
+    spark = histogram.sparkSession
+    upto = F.sum(count).over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    bounds = histogram.where(F.col(count) > 0).select(F.col(value).alias("value"), (upto - F.col(count)).alias("lo"), (upto - 1).alias("hi"), F.lit(0).alias("_all"))
+    n, kinds = histogram.agg(F.coalesce(F.sum(count), F.lit(0)), F.count(F.lit(1))).first()
+    if not n:
+        return histogram.select(F.col(value).alias("value")).limit(0)
+    draws = spark.range(n).select(F.col("id").alias("x"), F.lit(0).alias("_all"))
+    if n > most:
+        draws = draws.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(most)
+    return point_join(draws, bounds, ["_all"], "x", ("lo", "hi"), max(1, n // kinds)).select("value")
+
+
 def support(prefix: str, keep: Column, strand: Column, quality: Column, high: float) -> list[Column]:
     """Conditional aggregates of the rows in keep: counts by strand, quality extremes and moments, high-quality counts."""
     q = F.when(keep, quality)

@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import align
 from ..operators.graph import UnionFind
+from ..operators.ordered import per_group
 
 Edge = tuple[int, int, int]  # next, score, overlap
 
@@ -220,11 +220,11 @@ def assembled(reads: DataFrame, locus: str, seq: str, least: int, most_reads: in
     deep = n.where(F.col("n_reads") > most_reads)
     kept = reads.select(locus, seq).join(deep.select(locus), locus, "left_anti")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        found = assemble(sorted(g[seq].dropna()), least)
-        return pd.DataFrame({locus: [g[locus].iloc[0]] * len(found), "contig": range(len(found)), "seq": found, "n_reads": len(g), "too_deep": False})
+    def scan(rows: list[dict]) -> list[dict]:
+        found = assemble(sorted(r[seq] for r in rows if r[seq] is not None), least)
+        return [{locus: rows[0][locus], "contig": k, "seq": s, "n_reads": len(rows), "too_deep": False} for k, s in enumerate(found)]
 
     kind = reads.schema[locus].dataType.simpleString()
-    out = kept.groupBy(locus).applyInPandas(run, f"{locus} {kind}, contig int, seq string, n_reads long, too_deep boolean")
+    out = per_group(kept, [locus], [seq], scan, f"{locus} {kind}, contig int, seq string, n_reads long, too_deep boolean")
     none = deep.select(locus, F.lit(None).cast("int").alias("contig"), F.lit(None).cast("string").alias("seq"), "n_reads", F.lit(True).alias("too_deep"))
     return out.unionByName(none)

@@ -27,7 +27,7 @@ def facing_pairs(forward: DataFrame, reverse: DataFrame, max_is: int) -> DataFra
     f = forward.select("contig", F.col("cluster").alias("f"), F.col("hi").alias("f_hi"), F.col("n").alias("f_n"), (F.col("hi") - max_is).alias("w_lo"), (F.col("hi") + max_is).alias("w_hi"))
     r = reverse.select("contig", F.col("cluster").alias("r"), F.col("lo").alias("r_lo"), F.col("n").alias("r_n"))
     met = ranges.point_join(r, f, ["contig"], "r_lo", ("w_lo", "w_hi"), max_is).withColumn("score", F.col("f_n") + F.col("r_n")).select("contig", "f", "r", "f_hi", "r_lo", "score")
-    return ordered.greedy_pairs(met, ["contig"], "f", "r", "score", descending=True).where("accepted").drop("accepted")
+    return graph.greedy_matching(met, ["contig"], "f", "r", "score", descending=True).where("accepted").drop("accepted")
 
 
 def source_windows(mates: DataFrame, width: int) -> DataFrame:

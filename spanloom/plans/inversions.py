@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import align, numeric, predicates, sequence
 from ..functions.types import SIMPLE
-from ..operators import ordered, ranges
+from ..operators import graph, ordered, ranges
 
 
 def pair_breakends(breakends: DataFrame, reach: int, width: int = 10_000) -> DataFrame:
@@ -23,7 +23,7 @@ def pair_breakends(breakends: DataFrame, reach: int, width: int = 10_000) -> Dat
     r, l = side(False, "r"), side(True, "l").withColumns({"lo": F.col("l_start") - reach, "hi": F.col("l_start") + reach})
     met = ranges.point_join(r, l, ["chr"], "r_start", ("lo", "hi"), width).where(F.abs(F.col("r_end") - F.col("l_end")) <= reach)
     cost = F.greatest(F.abs(F.col("r_start") - F.col("l_start")), F.abs(F.col("r_end") - F.col("l_end")))
-    taken = ordered.greedy_pairs(met.drop("lo", "hi").withColumn("cost", cost), ["chr"], "r_id", "l_id", "cost").where("accepted")
+    taken = graph.greedy_matching(met.drop("lo", "hi").withColumn("cost", cost), ["chr"], "r_id", "l_id", "cost").where("accepted")
     return taken.select("chr", F.concat_ws("+", "r_id", "l_id").alias("id"), F.least("r_start", "l_start").alias("start"), F.greatest("r_end", "l_end").alias("end"), F.lit("INV").alias("svtype"), F.greatest("r_start", "l_start").alias("inv_start"), F.least("r_end", "l_end").alias("inv_end"))
 
 

@@ -111,7 +111,7 @@ def paired_consensuses(left: DataFrame, right: DataFrame, near: int = 10_000, le
     met = ranges.point_join(l, r, ["contig"], "l_at", ("r_lo", "r_hi"), near)
     scored = met.withColumn("_o", _overlap("r_seq", "l_seq", F.lit(least))).where("_o.score is not null")
     pairs = scored.select("contig", "r_chain", "l_chain", "r_at", "l_at", "r_seq", "l_seq", F.col("_o.score").alias("score"), F.col("_o.length").alias("overlap"))
-    return ordered.greedy_pairs(pairs, ["contig"], "r_chain", "l_chain", "score", descending=True).where("accepted").drop("accepted")
+    return graph.greedy_matching(pairs, ["contig"], "r_chain", "l_chain", "score", descending=True).where("accepted").drop("accepted")
 
 
 @F.pandas_udf(struct("score int, length int"))

@@ -6,7 +6,7 @@ double, imprecise boolean, filters array<string>, and for haplotypes aux_snps an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import align, predicates, sequence
 from ..functions.types import SIMPLE, struct
-from ..operators import ordered, ranges, sets
+from ..operators import graph, ordered, ranges, sets
 
 
 def normalise(variants: DataFrame, contigs: DataFrame, flank: int = 2000) -> DataFrame:
@@ -282,16 +282,38 @@ def candidate_pairs(benchmark: DataFrame, called: DataFrame, m: Match, repeats:
     return kept.withColumn("score", -F.col("length_difference") - F.log(F.col("distance") + 1) + 100 * F.coalesce("similarity", F.lit(0.0)))
 
 
+def match_order(columns: Sequence[str], repeat: Column | None = None) -> Column:
+    """The order in which matches are taken, best last: exact ones, then fewer missing alleles of the benchmark, then those not
+    found by a repeat, then score, and of the call consistent reads, alternative reads and the score of its extended
+    consensus. columns are those of the call's struct; what it lacks counts as equal."""
+    exact = (F.col("a.start") == F.col("b.start")) & (F.col("a.end") == F.col("b.end")) & (F.col("a.svtype") == F.col("b.svtype")) & F.col("a.ins_seq").eqNullSafe(F.col("b.ins_seq"))
+    missing = F.size(F.filter("a.gt", lambda x: x.isNull()))
+    more = [F.coalesce(F.col(f"b.{c}").cast("double"), F.lit(0.0)).alias(c) for c in ("consistent_reads", "alt_reads", "ext_alt_score") if c in columns]
+    rep = F.lit(False) if repeat is None else F.coalesce(repeat, F.lit(False))
+    return F.struct(exact.alias("exact"), (-F.greatest(missing, F.lit(0))).alias("complete"), (~rep).alias("unique"), F.col("score").alias("score"), same_genotype("a", "b").cast("int").alias("same_gt"), (-F.col("distance")).alias("near"), *more)
+
+
+def optimal_matches(pairs: DataFrame) -> DataFrame:
+    """pairs but those that another pair of the same call beats in exactness, missing alleles, repeat or score."""
+    o = match_order([])
+    best = F.rank().over(Window.partitionBy("b.id").orderBy(F.desc(F.struct(o["exact"], o["complete"], o["unique"], o["score"]))))
+    return pairs.withColumn("_rank", best).where("_rank = 1").drop("_rank")
+
+
 def best_matches(pairs: DataFrame, capacity: int = 1) -> DataFrame:
-    """benchmark_id, called_id: pairs taken in the order of score, genotype, distance and ids while both sides have room."""
-    order = F.struct(F.col("score"), same_genotype("a", "b").cast("int"), -F.col("distance"))
-    # One rank a contig makes the scan's cost a single column.
-    ranked = pairs.select("chr", F.col("a.id").alias("benchmark_id"), F.col("b.id").alias("called_id"), order.alias("_o"))
-    w = Window.partitionBy("chr").orderBy(F.desc("_o"), "benchmark_id", "called_id")
-    taken = ordered.greedy_pairs(ranked.withColumn("_k", F.row_number().over(w)).drop("_o"), ["chr"], "benchmark_id", "called_id", "_k", capacity, capacity)
+    """benchmark_id, called_id: pairs taken by match_order, then by ids, while both sides have room."""
+    call = pairs.schema["b"].dataType.names
+    ranked = pairs.select("chr", F.col("a.id").alias("benchmark_id"), F.col("b.id").alias("called_id"), match_order(call).alias("_o"))
+    taken = graph.greedy_matching(ranked, ["chr"], "benchmark_id", "called_id", "_o", capacity, capacity, descending=True)
     return taken.where("accepted").select("benchmark_id", "called_id")
 
 
+def output_order() -> list[Column]:
+    """The order of records in files: place, end, type, facing of breakends, sequence, source, filters (passing first), haplotype."""
+    failed = F.when(predicates.is_pass(), F.lit("")).otherwise(F.concat(F.lit("1"), F.array_join("filters", ";")))
+    return [F.col("start"), F.col("end"), F.col("svtype"), F.coalesce("ins_seq", F.lit("")), F.coalesce("source", F.lit("")), failed, F.coalesce("hpid", F.lit(0)), F.col("id")]
+
+
 def compare(benchmark: DataFrame, called: DataFrame, m: Match = Match(), repeats: DataFrame | None = None, capacity: int = 1) -> DataFrame:
     """Per type: tp of both sides, fn, fp, recall, precision and F1."""
     found = best_matches(candidate_pairs(benchmark, called, m, repeats), capacity)
@@ -315,8 +337,6 @@ def cohort(variants: DataFrame, samples: list[str], gap: int = 500, m: Match = M
     within sessions of starts at most gap apart; the representative is the most frequent exact form, then the one with the
     higher epr.
     """
-    from ..operators import graph
-
     keep = variants.where((predicates.alt_alleles() >= 1) & predicates.supported_type() & predicates.is_pass())
     rows = keep.select("sample", "id", "chr", "start", "end", "svtype", F.coalesce("ins_seq", F.lit("")).alias("ins_seq"), F.coalesce("imprecise", F.lit(False)).alias("imprecise"), "epr", F.array_join(F.transform("gt", lambda x: F.coalesce(x.cast("string"), F.lit("."))), "/").alias("gt"))
     cl = graph.clique_cover(rows, ["chr"], "start", gap, lambda a, b: _compatible(a, b, m), ["end", "svtype", "sample", "id"])

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +64,10 @@ def sampled_positions(df: DataFrame, positions: DataFrame, keep: Column, per: in
     met = point_join(positions, df.where(keep).withColumn("_end", aligned_end() - 1), ["contig"], "at", ("pos", "_end"), 1000).drop("_end")
     ranked = met.withColumn("_r", F.row_number().over(Window.partitionBy("contig", "at").orderBy(*order))).where(F.col("_r") <= per)
     counts = ranked.groupBy("contig", "at").agg(F.count(F.lit(1)).alias("_n"))
+    # A position has a row at least, so the first ``total`` positions are enough, and the running sum reads no more.
+    first = counts.orderBy("contig", "at").limit(total)
     before = F.coalesce(F.sum("_n").over(Window.orderBy("contig", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = counts.withColumn("_b", before).where(F.col("_b") < total).select("contig", "at")
+    kept = first.withColumn("_b", before).where(F.col("_b") < total).select("contig", "at")
     return ranked.join(kept, ["contig", "at"], "left_semi").drop("_r")
 
 
@@ -74,16 +75,21 @@ def random_positions(regions: DataFrame, n: int, seed: int, padding: int = 1000)
     """n places drawn evenly over regions (contig, start, end) without padding at their ends; repeatable by seed."""
     from pyspark.sql.window import Window
 
+    from ..operators.ranges import point_join
+
     r = regions.select("contig", (F.col("start") + padding).alias("s"), (F.col("end") - padding).alias("e")).where("e > s")
-    w = Window.orderBy("contig", "s").rowsBetween(Window.unboundedPreceding, 0)
-    cum = r.withColumn("hi", F.sum(F.col("e") - F.col("s")).over(w)).withColumn("lo", F.col("hi") - (F.col("e") - F.col("s")))
-    size = cum.agg(F.max("hi")).first()[0] or 0
+    # Where a contig's regions begin in one long line of all: contigs are few, and a contig's regions are summed apart.
+    sizes = r.groupBy("contig").agg(F.sum(F.col("e") - F.col("s")).alias("size"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.sum(F.col("e") - F.col("s")).over(Window.partitionBy("contig").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0))
+    placed = r.withColumn("_o", own).join(sizes.withColumn("_b", before), "contig").withColumn("hi", F.col("_b") + F.col("_o") - 1)
+    cum = placed.select("contig", "s", (F.col("hi") - (F.col("e") - F.col("s")) + 1).alias("lo"), "hi", F.lit(0).alias("line"))
+    size, count = sizes.agg(F.sum("size"), F.sum("n")).first()
     spark = regions.sparkSession
     if not size:
         return spark.createDataFrame([], "contig string, at long")
-    draws = spark.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)).alias("x"))
-    # Regions are a listing of the reference, so they are the side that is small.
-    hit = draws.join(cum, (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
+    draws = spark.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)).alias("x"), F.lit(0).alias("line"))
+    hit = point_join(draws, cum, ["line"], "x", ("lo", "hi"), max(1, size // count))
     return hit.select("contig", (F.col("s") + F.col("x") - F.col("lo")).alias("at"))
 
 
@@ -116,20 +122,12 @@ def fai(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
-    """contig, seq: one row a record. A record is read by one task, so a contig has to fit there."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw in b.column("content").to_pylist():
-                names, seqs = [], []
-                for record in raw.decode().split(">")[1:]:
-                    head, _, body = record.partition("\n")
-                    names.append(head.split()[0] if head.split() else "")
-                    seq = "".join(body.split())
-                    seqs.append(seq.upper() if upper else seq)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seqs, pa.string())], names=["contig", "seq"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(split, "contig string, seq string")
+    """contig, seq: one row a record. Records are rows of the scan, so a file is read by many tasks and a row holds a contig."""
+    record = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
+    head = F.regexp_extract("value", r"^[^\S\n]*(\S*)", 1)
+    body = F.when(F.instr("value", "\n") > 0, F.substr(F.col("value"), F.instr("value", "\n") + 1)).otherwise("")
+    seq = F.translate(body, " \t\r\n", "")
+    return record.select(head.alias("contig"), (F.upper(seq) if upper else seq).alias("seq"))
 
 
 def key_values(spark: SparkSession, path: str) -> dict[str, str]:
