@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-SIMPLE: dict[str, DataType] = {"int": IntegerType(), "long": LongType(), "double": DoubleType(), "string": StringType()}
+SIMPLE: dict[str, DataType] = {"int": IntegerType(), "long": LongType(), "double": DoubleType(), "string": StringType(), "bool": BooleanType()}
 
 
 def struct(fields: str) -> StructType:
