@@ -1,22 +1,26 @@
 """Main text of web pages: what a site repeats is removed, and what a page marks as beside its article.
 
-Element subtrees are hashed (tag and text of the whole subtree); Spark counts on how many different pages of a host each
-hash occurs; subtrees that recur on at least ``min_pages`` pages and ``min_share`` of the host's pages are template and are
-deleted from every page that has them. Pages with equal text count once, so copies of an article don't make it a template,
-and an article element itself is never deleted. Marked parts go by tag, role and class, also on hosts with few pages.
+Element subtrees are hashed: tags and text of the whole subtree, in lower case and without attributes, so that link targets
+don't tell equal parts apart. Spark counts on how many different pages of a host each hash occurs; subtrees on at least ``min_pages`` pages and at least the host's pages to the power ``growth`` are template and
+are deleted from every page that has them: on 100 pages that is 10, on a million 1,000, so parts of a large host's sections
+are template too. Pages with equal text count once, so copies of an article don't make it a template, and an article
+element itself is never deleted, nor prose (paragraphs, headings, list items) inside one. Marked parts go by tag, role and
+class, also on hosts with few pages.
 
 Text is then taken from the article elements that remain, else from main, else from the body. Block elements end a block;
 character references are decoded, white space inside a block becomes one space, empty blocks go, blocks are joined by \\n.
 
 Defined cases: null and empty html give an empty text; a null url counts as a host of its own; broken markup is read as
 browsers do in the plain cases (an unclosed tag ends with its parent, an unknown end tag is ignored, an unfinished tag at
-the end is dropped); repeated rows are extracted each; an empty table gives an empty result.
+the end is dropped); repeated rows are extracted each; a very long or deeply nested page is one row, read without recursion;
+other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,6 +92,7 @@ class Page:
         self.blocks: list[tuple[str, int]] = []
         self._text: list[str] = []
         self._owner = 0
+        self._opened: Counter = Counter()
         self._read(source or "")
 
     def _flush(self) -> None:
@@ -105,21 +110,14 @@ class Page:
                 self.content[at].append(text)
                 return
             self._flush()
-        self._owner = at if not self._text or self._deeper(at, self._owner) else self._owner
+        # A block belongs to the outermost element that it has text of. at is open: what began after it lies inside it.
+        self._owner = at if not self._text or at <= self._owner else self._owner
         self._text.append(text)
         self.content[at].append(text)
 
     def _lost(self, at: int) -> bool:
         return self.dropped[at]
 
-    def _deeper(self, a: int, b: int) -> bool:
-        """Whether a lies around b, so that a block belongs to the outermost element that it has text of."""
-        while b >= 0:
-            if a == b:
-                return True
-            b = self.parents[b]
-        return False
-
     def _open(self, tag: str, raw: str, stack: list[int]) -> int:
         at, up = len(self.tags), stack[-1]
         self.tags.append(tag)
@@ -133,9 +131,12 @@ class Page:
 
     def _end(self, tags: frozenset | set, stack: list[int], walls: frozenset) -> bool:
         """Close the nearest open element of tags, unless a wall stands before it; whether there was one."""
+        if not any(self._opened[t] for t in tags):
+            return False
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tags[stack[k]]
             if tag in tags:
+                self._opened.subtract(self.tags[x] for x in stack[k:])
                 del stack[k:]
                 return True
             if tag in walls:
@@ -184,6 +185,7 @@ class Page:
                 continue
             if not m[3].endswith("/") or tag in BLOCKS:
                 stack.append(here)
+                self._opened[tag] += 1
         self._flush()
 
     def hashes(self) -> list[int]:
@@ -192,7 +194,7 @@ class Page:
         for at in range(len(self.tags) - 1, -1, -1):
             x = xxhash.xxh64(self.tags[at].encode())
             for c in self.content[at]:
-                x.update(out[c].to_bytes(8, "little") if isinstance(c, int) else b"\0" + " ".join(c.split()).encode("utf-8", "surrogatepass"))
+                x.update(out[c].to_bytes(8, "little") if isinstance(c, int) else b"\0" + " ".join(c.lower().split()).encode("utf-8", "surrogatepass"))
             out[at] = x.intdigest()
         return [h - (1 << 64) if h >> 63 else h for h in out]
 
@@ -246,16 +248,17 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(out, names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, growth: float = 0.5) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html)."""
     scratch = Scratch(pages.sparkSession, "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(host).alias("host"), F.xxhash64("url", "html").alias("html_hash"))
     parts = scratch.table(keyed.select("page_id", "html_hash", "host", "html").mapInArrow(_keys, KEYS), "parts")
+    # The most frequent part of a large host is one key, but it is counted before rows are sent.
     each = parts.select("host", "text_hash", F.explode("parts").alias("part"))
     seen = each.distinct().groupBy("host", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     sizes = parts.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    template = scratch.table(seen.join(sizes, "host").where(F.col("n") >= min_share * F.col("of")).select("host", "part"), "template")
+    template = scratch.table(seen.join(sizes, "host").where(F.col("n") >= F.pow(F.col("of").cast("double"), growth)).select("host", "part"), "template")
     on_page = parts.select("page_id", "html_hash", "host", F.explode("parts").alias("part")).join(template, ["host", "part"], "left_semi")
     removed = on_page.groupBy("page_id", "html_hash").agg(F.collect_set("part").alias("parts"))
     removed = scratch.table(removed, "removed").select(F.col("page_id").alias("r_id"), F.col("html_hash").alias("r_hash"), "parts")

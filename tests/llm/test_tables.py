@@ -62,6 +62,46 @@ def test_generated_pages(spark, small):
         assert r.text == "\n".join(x for x in want if x) and r.n_chars == len(r.text)
 
 
+def unmarked(r, host):
+    """A page without article, nav, footer and adverts: its own parts are a div, its site's menu and footer plain blocks."""
+    import re
+
+    body = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
+    menu = "".join(f'<li><a href="/{r.page_id}/{k}">{host} part {k}</a></li>' for k in range(4))
+    return page(f"<div><ul>{menu}</ul></div><div>{body}</div><div><p>Copyright {host}</p><p>All rights reserved.</p></div>")
+
+
+def test_template_step_alone_removes_what_a_site_repeats(spark):
+    """With neither article nor marked parts, only counting by host tells a page's own text; without the step, this fails."""
+    from collections import Counter
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    host = lambda r: r.url.split("//", 1)[-1].split("/", 1)[0].lower()
+    pages = Counter(map(host, rows))
+    df = spark.createDataFrame([(r.page_id, r.url, unmarked(r, host(r)), None) for r in rows], PAGES)
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    off = {r.page_id: r.text for r in html_text.extract(df, min_pages=10**9).collect()}
+    checked = 0
+    for r in rows:
+        own = text(r.html)
+        if pages[host(r)] >= 6:
+            checked += 1
+            assert got[r.page_id] == own and "All rights reserved." in off[r.page_id]
+        elif pages[host(r)] < 5:
+            assert got[r.page_id] == off[r.page_id] != own
+    assert checked > 100
+
+
+def test_deep_and_long_pages():
+    import time
+
+    began = time.perf_counter()
+    assert text("<b>x" * 60_000 + "</i>" * 60_000).count("x") == 60_000
+    assert len(text("<div>y" * 20_000).split("\n")) == 20_000
+    assert text("<article>" + "<p>z</p>" * 50_000).count("z") == 50_000
+    assert time.perf_counter() - began < 30
+
+
 VECTORS = "vec_id long, embedding array<double>, rank int"
 
 
