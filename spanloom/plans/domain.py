@@ -181,12 +181,12 @@ def vcf_round_trip(spark, sf_dir):
 
 @query(f"""
 with s as (select doc_id, substr({SEQ}, 1, 4) as tag, {SEQ} as s from documents), k as (select doc_id, s, unnest(range(length(s))) as i from s where length(s) >= 4),
-b as (select substr(s, 1, 4) as tag, i as pos, s[i + 1] as base from k where i < 100),
+b as (select substr(s, 1, 4) as tag, i as pos, s[i + 1] as base from k),
 v as (select tag, pos, base, count(*) as n, sum(count(*)) over (partition by tag, pos) as depth from b group by tag, pos, base)
 select tag, pos::bigint as pos, base, depth::bigint as depth from v qualify row_number() over (partition by tag, pos order by n desc, base) = 1""")
 def positional_consensus(spark, sf_dir):
-    """Base votes over the front hundred places (a window of the operator) of all sequences with one tag."""
-    s = _sequences(spark, sf_dir).where("length(seq) >= 4").select(F.substr("seq", F.lit(1), F.lit(4)).alias("tag"), F.substr("seq", F.lit(1), F.lit(100)).alias("seq"), F.lit(0).cast("long").alias("at"))
+    """Base votes over all places of all sequences with one tag."""
+    s = _sequences(spark, sf_dir).where("length(seq) >= 4").select(F.substr("seq", F.lit(1), F.lit(4)).alias("tag"), "seq", F.lit(0).cast("long").alias("at"))
     q = F.transform(F.split("seq", ""), lambda x: F.lit(1))
     return sets.consensus_bases(s.withColumn("qual", q), ["tag"], "seq", "qual", "at").select("tag", "pos", "base", "depth")
 
@@ -223,17 +223,17 @@ def gbt_classifier(spark, sf_dir):
 
 @query("""
 with d as (select user_id, event_id, epoch_us(ts) // 3600000000 as h from events), r as (select user_id, min(h) as lo, max(h) as hi from d group by 1),
-p as (select user_id, unnest(range(lo, least(hi, lo + 48) + 1)) as pos from r), c as (select p.user_id, pos, count(event_id) as n from p left join d on d.user_id = p.user_id and pos between h and h + 5 group by all),
+p as (select user_id, unnest(range(lo, hi + 1)) as pos from r), c as (select p.user_id, pos, count(event_id) as n from p left join d on d.user_id = p.user_id and pos between h and h + 5 group by all),
 k as (select user_id, n, row_number() over (partition by user_id order by n) - 1 as i, count(*) over (partition by user_id) as t from c)
 select user_id, max(n) filter (i = t // 2) as median_depth from k group by 1""")
 def region_median_depth(spark, sf_dir):
-    """Median depth of six-hour intervals over each user's first two days."""
+    """Median depth of six-hour intervals from each user's first to last event."""
     from ..operators import coverage
 
     h = F.floor(micros("ts") / HOUR).cast("long")
     d = table(spark, sf_dir, "events").select("user_id", h.alias("s"), (h + 6).alias("e"))
-    r = d.groupBy("user_id").agg(F.min("s").alias("lo"), (F.least(F.max("s"), F.min("s") + 48) + 1).alias("hi")).withColumn("region", F.lit(1))
-    return coverage.median_depth(d, ["user_id"], "s", "e", r, "region", ("lo", "hi")).select("user_id", "median_depth")
+    r = d.groupBy("user_id").agg(F.min("s").alias("lo"), (F.max("s") + 1).alias("hi")).withColumn("region", F.lit(1))
+    return coverage.median_depth(d, ["user_id"], "s", "e", r, "region", ("lo", "hi"), 720).select("user_id", "median_depth")
 
 
 @query("select doc_id, md5(text) as md5, length(text) <> n_chars as bad_length from documents")

@@ -41,12 +41,13 @@ def test_sql_agrees(spark, duck, small, name):
     cols = sorted(df.columns)
     rows = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
     want = sorted((tuple(r[rel.columns.index(c)] for c in cols) for r in rel.fetchall()), key=str)
+    assert rows or not want
     assert len(rows) == len(want) and all(all(map(same, a, b)) for a, b in zip(rows, want))
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_other_queries_run(spark, small, name):
-    assert catalog.QUERIES[name](spark, small).count() >= 0
+def test_other_queries_have_rows(spark, small, name):
+    assert catalog.QUERIES[name](spark, small).count() > 0
 
 
 def test_the_rest_does_without_the_optional_subpackage(tmp_path):
