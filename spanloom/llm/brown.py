@@ -1,22 +1,25 @@
 """Class-based n-gram scores after Brown, with classes from distributed exchange clustering.
 
-A token's class is that of its unit: the ``frequent`` most counted words are units of their own, all other words fall into
-``endings`` units by their last three bytes, so a unit's class is known for any word without a table of all words. Exchange
-clustering runs in rounds: one pass over all training text counts, for every unit, the classes before and after it; with
-these counts units are moved one after the other to the class that raises the likelihood of class bigrams most. The next
-round counts anew under the new classes. Units times classes is fixed by parameters, so this state is bounded; the counts
-in it are those of the whole training text.
-
-A text's probability is the product over its tokens of P(class | class before) and P(word | class). Words beyond the
-``known`` most counted are looked up in the table of all counts by a join; the others travel with the tasks.
-
-Defined cases: a null text counts as empty and consists of the end token; a null doc_id is training text; without training
-text every unit is in one class and only smoothing is left; repeated rows are scored each.
+Every word of the training text gets its class by exchange: it goes where it raises the likelihood of class bigrams most.
+The ``frequent`` most counted words do so in rounds: a pass over all training text counts, for each of them, the classes
+before and after it; with these counts they are moved one after the other. All other words, however many, wait in a class
+of their own during the rounds. Then each is moved once, by the counts of its own neighbours' classes against the class
+bigrams that the rounds left: a table of (word, class beside it, count), summed by word in Spark, so no word is outside
+exchange and nothing but classes times classes has to be in one place. (Rounds over parts of the vocabulary with counts
+frozen meanwhile are the published distributed form of exchange clustering.) At last class bigrams are counted anew over
+all training text, now with the class of every word.
+
+A text's probability is the product over its tokens of P(class | class before) and P(word | class). Counts and classes of
+the ``known`` most counted words travel with the tasks; those of all others are joined, by place in their text.
+
+Defined cases: a null text counts as empty and consists of the end token; a null doc_id is training text; an empty table
+gives an empty result; without training text only smoothing is left; repeated rows are scored each; a very long text is one
+row and its classes one byte a token; other columns are not read. Every class keeps room for one word that training lacks;
+the probability of such a word is the sum over classes, and what follows it is the mean over the classes it can be in.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +38,10 @@ FLUSH = 300_000
 #: So many texts are scored at a time.
 SLICE = 500
 ADD = 0.5
-SCORED = "row long, token binary, class int, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+READ = "row long, token binary, at int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, path binary"
+PATHS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, path binary"
+#: In a path, the place of a word that is looked up by a join. Classes are below it.
+OPEN = 255
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -61,30 +67,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Units:
-    """words: the most counted words in order; the first ``frequent`` are units, the rest are units by ending."""
+    """words: the most counted words in order; the first ``frequent`` are units, all others are in the unit ``rest``."""
 
     words: list[bytes]
     counts: np.ndarray
     frequent: int
-    endings: int
 
     def __post_init__(self):
-        self.n = self.frequent + self.endings
-        self.end = self.n  # the unit of the end of a text
+        self.rest, self.end = self.frequent, self.frequent + 1
+        self.n = self.frequent + 2
         self.number = {w: k for k, w in enumerate(self.words)}
-        self.of_word = np.array([k if k < self.frequent else self.ending(w) for k, w in enumerate(self.words)] + [0], np.int64)
-
-    def ending(self, w: bytes) -> int:
-        return self.frequent + zlib.crc32(w[-3:]) % self.endings
 
     def read(self, text: bytes | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Words of a text, their numbers (-1: not among words) and units."""
         w = tokens(text)
         k = np.fromiter(map(self.number.get, w, repeat(-1)), np.int64, len(w))
-        u = self.of_word[k]
-        for i in np.flatnonzero(k < 0).tolist():
-            u[i] = self.ending(w[i])
-        return w, k, u
+        return w, k, np.where((k >= 0) & (k < self.frequent), k, self.rest)
 
 
 def _encode(units: Units, size: int = 1 << 20):
@@ -112,7 +110,7 @@ def _encode(units: Units, size: int = 1 << 20):
 
 
 def _contexts(class_of: np.ndarray, classes: int):
-    """For each (unit, class): how often the class comes before and after the unit. The last unit and class are the end."""
+    """For each (unit, class): how often the class comes before and after the unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = len(class_of) * classes
@@ -131,9 +129,11 @@ def _contexts(class_of: np.ndarray, classes: int):
     return run
 
 
-def count_contexts(blobs: DataFrame, class_of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def count_contexts(blobs: DataFrame, class_of: np.ndarray, classes: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     summed = blobs.mapInArrow(_contexts(class_of, classes), "cell long, before long, after long").groupBy("cell").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+    summed = scratch.table(summed, "contexts")
     got = summed.toArrow()
+    scratch.drop(summed)
     out = np.zeros((2, len(class_of) * classes), np.int64)
     at = got.column("cell").to_numpy()
     out[0, at], out[1, at] = got.column("before").to_numpy(), got.column("after").to_numpy()
@@ -157,10 +157,10 @@ def likelihood(n: np.ndarray) -> float:
 
 
 def exchange(before: np.ndarray, after: np.ndarray, class_of: np.ndarray, classes: int) -> np.ndarray:
-    """One round of moves, the most counted units first; the end keeps its class, the last one."""
+    """One round of moves, the most counted units first. The last two units, all other words and the end, keep theirs."""
     out, n = class_of.copy(), bigrams(after, class_of, classes).astype(float)
-    total, free = after.sum(axis=1), classes - 1
-    for u in np.argsort(-total[:-1], kind="stable"):
+    total, free = after.sum(axis=1), classes - 2
+    for u in np.argsort(-total[:-2], kind="stable"):
         if not total[u]:
             break
         was, l, r = out[u], before[u].astype(float), after[u].astype(float)
@@ -178,16 +178,16 @@ def exchange(before: np.ndarray, after: np.ndarray, class_of: np.ndarray, classe
     return out
 
 
-def cluster(blobs: DataFrame, units: Units, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each unit (the end last) and the class bigrams under it."""
-    # At first the most counted words are classes of their own, and all else is one class.
-    class_of = np.full(units.n + 1, classes - 2, np.int64)
-    first = min(classes - 2, units.frequent)
+def cluster(blobs: DataFrame, units: Units, classes: int, rounds: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each unit and the class bigrams under it. The last two classes are those of all other words and of the end."""
+    # At first the most counted words are classes of their own, and the rest of the units are one class.
+    class_of = np.full(units.n, classes - 3, np.int64)
+    first = min(classes - 3, units.frequent)
     class_of[:first] = np.arange(first)
-    class_of[-1] = classes - 1
+    class_of[units.rest], class_of[units.end] = classes - 2, classes - 1
     best = None
     for r in range(rounds + 1):
-        before, after = count_contexts(blobs, class_of, classes)
+        before, after = count_contexts(blobs, class_of, classes, scratch)
         n = bigrams(after, class_of, classes)
         if best is None or likelihood(n) > best[0]:
             best = likelihood(n), class_of, n
@@ -196,42 +196,159 @@ def cluster(blobs: DataFrame, units: Units, classes: int, rounds: int) -> tuple[
     return best[1], best[2]
 
 
+def _beside(units: Units, class_of: np.ndarray, classes: int):
+    """(word, code, n) for all words that are no units: code is the class before a word, or classes and the class after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, rare = [], 0, Counter()
+        words = pa.array(units.words, pa.binary())
+
+        def told() -> Iterator[pa.RecordBatch]:
+            key, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(key // (2 * classes))), pa.array((key % (2 * classes)).astype(np.int32)), pa.array(times)], names=["token", "code", "n"])
+            if rare:
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rare], pa.binary()), pa.array([c for _, c in rare], pa.int32()), pa.array(list(rare.values()), pa.int64())], names=["token", "code", "n"])
+
+        for b in batches:
+            for t in b.column("text"):
+                w, k, u = units.read(t.as_py())
+                path = np.concatenate((class_of[-1:], class_of[u], class_of[-1:]))
+                at = np.flatnonzero(k >= units.frequent)
+                held += [k[at] * (2 * classes) + path[at], k[at] * (2 * classes) + classes + path[at + 2]]
+                at = np.flatnonzero(k < 0).tolist()
+                rare.update((w[i], int(path[i])) for i in at)
+                rare.update((w[i], classes + int(path[i + 2])) for i in at)
+                n += len(held[-1])
+                if n > FLUSH * 4 or len(rare) > FLUSH:
+                    yield from told()
+                    held, n = [], 0
+                    rare.clear()
+        yield from told()
+
+    return run
+
+
+def best_classes(starts: np.ndarray, codes: np.ndarray, times: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class that raises the likelihood most for each word; its (code, times) begin at starts. n: class bigrams."""
+    n, classes = n.astype(float), len(n)
+    free = classes - 2
+    # Row code, column class: how often the class follows the neighbour before, or the neighbour after follows the class.
+    have = np.concatenate((n[:, :free], n.T[:, :free]))
+    rows, cols = n.sum(axis=1)[:free], n.sum(axis=0)[:free]
+    gain = np.zeros((len(starts), free))
+    for lo in range(0, len(starts), 4096):
+        hi = min(len(starts), lo + 4096)
+        a, z = starts[lo], starts[hi] if hi < len(starts) else len(codes)
+        x, c = times[a:z, None].astype(float), codes[a:z]
+        part = _xlogx(have[c] + x) - _xlogx(have[c])
+        gain[lo:hi] = np.add.reduceat(part, starts[lo:hi] - a, axis=0)
+        total = np.add.reduceat(np.where(c < classes, times[a:z], 0), starts[lo:hi] - a).astype(float)[:, None]
+        gain[lo:hi] -= _xlogx(rows + total) - _xlogx(rows) + _xlogx(cols + total) - _xlogx(cols)
+    return gain.argmax(axis=1)
+
+
+def _moved(n: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("x")
+                starts = x.offsets.to_numpy()[:-1] - x.offsets[0].as_py()
+                flat = x.flatten()
+                got = best_classes(starts, flat.field(0).to_numpy(), flat.field(1).to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([b.column("token"), pa.array(got.astype(np.int32))], names=["token", "class"])
+
+    return run
+
+
 @dataclass
 class Model:
-    units: Units
-    class_of: np.ndarray
-    move: np.ndarray  # log10 P(class | class before)
+    units: Units  # the known words
+    class_of: np.ndarray  # of the known words
+    classes: int
     word_total: float  # the denominator of the base
     class_total: np.ndarray  # the denominators of P(word | class)
 
+    @property
+    def unseen(self) -> int:
+        """Stands in paths for words that training lacks."""
+        return self.classes - 2
+
+
+def _read(m: Model):
+    """A row for each text, with the classes of its known words, and one for each place of another word."""
 
-def _score(m: Model, held_out_of: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, counts = m.units, m.units.counts.astype(float)
-        class_of_word = m.class_of[units.of_word[:-1]] if len(units.words) else np.zeros(0, np.int64)
+        units, counts, end = m.units, m.units.counts.astype(float), m.classes - 1
         base_of = np.log10((counts[:-1] + ADD) / m.word_total)
-        emit_of = np.log10((counts[:-1] + ADD) / m.class_total[class_of_word])
-        end_class, end_base = m.class_of[-1], float(np.log10((counts[-1] + ADD) / m.word_total))
+        emit_of = np.log10((counts[:-1] + ADD) / m.class_total[m.class_of])
+        end_base, end_emit = (float(np.log10((counts[-1] + ADD) / x)) for x in (m.word_total, m.class_total[end]))
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
         for b in (x.slice(k, SLICE) for x in batches for k in range(0, x.num_rows, SLICE)):
             main, rare = [], []
             for row, doc_id, held, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text")):
-                w, k, u = units.read(t.as_py())
-                c = m.class_of[u]
-                path = np.concatenate(([end_class], c, [end_class]))
+                w, k, _ = units.read(t.as_py())
                 seen = k[k >= 0]
-                score = float(m.move[path[:-1], path[1:]].sum() + emit_of[seen].sum())
-                main.append((row, END, 0, 0, doc_id, held, len(w) + 1, len(seen) + int(counts[-1] > 0), float(base_of[seen].sum()) + end_base, score))
-                for token, tf in Counter(w[i] for i in np.flatnonzero(k < 0).tolist()).items():
-                    rare.append((row, token, int(m.class_of[units.ending(token)]), tf))
-            n = len(rare)
-            cols = list(zip(*main)) or [()] * 10
-            more = list(zip(*rare)) or [()] * 4
-            # The row of the document itself gets a token of its own, so that the join has no hot key.
-            own = [END + r.to_bytes(8, "big") for r in cols[0]]
-            merged = [list(cols[0]) + list(more[0]), own + list(more[1]), list(cols[2]) + list(more[2]), list(cols[3]) + list(more[3])]
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            merged += [list(x) + [None] * n for x in cols[4:]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(merged, kinds)], names=[x.split()[0] for x in SCORED.split(", ")])
+                path = np.full(len(w), OPEN, np.uint8)
+                path[k >= 0] = m.class_of[seen]
+                main.append((row, None, None, doc_id, held, len(w) + 1, len(seen) + int(counts[-1] > 0), float(base_of[seen].sum()) + end_base, float(emit_of[seen].sum()) + end_emit, path.tobytes()))
+                rare += [(row, w[i], i) for i in np.flatnonzero(k < 0).tolist()]
+            n = len(main)
+            cols = [list(c) for c in zip(*main)] or [[]] * 10
+            more = [list(c) for c in zip(*rare)] or [[]] * 3
+            cols = [c + (more[j] if j < 3 else [None] * len(rare)) for j, c in enumerate(cols)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in READ.split(", ")])
+
+    return run
+
+
+def _filled(m: Model):
+    """Paths with the classes of the words that were looked up; what these add to the sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = {c: b.column(c).to_pylist() for c in ("n_known", "base", "emitted", "path")}
+            for i, x in enumerate(b.column("x")):
+                if x.is_valid and len(x.values):
+                    at, kind, n = (x.values.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                    order = np.argsort(at)  # sums don't depend on the order in which rows came
+                    at, kind, n = at[order], kind[order], n[order]
+                    path = np.frombuffer(cols["path"][i], np.uint8).copy()
+                    path[at] = kind
+                    cols["path"][i] = path.tobytes()
+                    seen = n > 0
+                    cols["n_known"][i] += int(seen.sum())
+                    cols["base"][i] += float(np.log10((n + ADD) / m.word_total).sum())
+                    cols["emitted"][i] += float(np.log10((n[seen] + ADD) / m.class_total[kind[seen]]).sum())
+            out = [b.column("doc_id"), b.column("held_out"), b.column("n_tokens"), pa.array(cols["n_known"], pa.int64()), pa.array(cols["base"], pa.float64()), pa.array(cols["emitted"], pa.float64()), pa.array(cols["path"], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in PATHS.split(", ")])
+
+    return run
+
+
+def _steps(paths: list[bytes], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for p in paths:
+        x = np.concatenate(([end], np.frombuffer(p, np.uint8), [end])).astype(np.int64)
+        yield x[:-1], x[1:]
+
+
+def _bigrams(classes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(classes * classes, np.int64)
+        for b in batches:
+            for a, c in _steps(b.column("path").to_pylist(), classes - 1):
+                n += np.bincount(a * classes + c, minlength=classes * classes)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+
+    return run
+
+
+def _score(move: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            moved = [float(move[a, c].sum()) for a, c in _steps(b.column("path").to_pylist(), len(move) - 1)]
+            score = pa.array(np.array(moved) + b.column("emitted").to_numpy(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base")), score], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -253,51 +370,70 @@ def most_counted(vocabulary: DataFrame, known: int) -> list:
     return sorted(vocabulary.where(octave >= least).collect(), key=lambda r: (-r["n"], bytes(r["token"])))
 
 
-def score(docs: DataFrame, held_out: Column, classes: int = 48, rounds: int = 6, frequent: int = 4096, endings: int = 2048, known: int = 200_000, prior: float = 5.0) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "brown")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    train = rows.where("not held_out").select("text")
+def word_classes(train: DataFrame, scratch: Scratch, classes: int = 48, rounds: int = 6, frequent: int = 8192, known: int = 200_000) -> tuple[DataFrame, Units, np.ndarray, np.ndarray]:
+    """(token, n, class) of every word of train (text binary), the known words, and the class bigrams of the rounds.
+
+    classes counts those of words; two more follow, that of all words that wait (empty in the end) and that of the end.
+    """
+    classes += 2
+    if classes > OPEN or frequent > (1 << 16) - 2:
+        raise ValueError("at most 253 classes and 65534 frequent words")
     vocabulary = scratch.table(train.mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = most_counted(vocabulary.where(F.col("token") != F.lit(END)), known)
     ends = vocabulary.where(F.col("token") == F.lit(END)).first()
     counts = np.array([r["n"] for r in top] + [ends["n"] if ends else 0], np.int64)
-    units = Units([bytes(r["token"]) for r in top], counts, min(frequent, len(top)), endings)
-
+    units = Units([bytes(r["token"]) for r in top], counts, min(frequent, len(top)))
     blobs = scratch.table(train.mapInArrow(_encode(units), "units binary"), "units")
-    class_of, n = cluster(blobs, units, classes, rounds)
+    class_of, n = cluster(blobs, units, classes, rounds, scratch)
     scratch.drop(blobs)
-
-    def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = [units.number.get(t, -1) for t in b.column("token").to_pylist()]
-            u = [units.of_word[i] if i >= 0 else units.ending(t) for i, t in zip(k, b.column("token").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(class_of[np.array(u, np.int64)]), b.column("n")], names=["class", "n"])
-
-    per = vocabulary.where(F.col("token") != F.lit(END)).mapInArrow(classes_of, "class long, n long").groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
+    beside = train.mapInArrow(_beside(units, class_of, classes), "token binary, code int, n long").repartition("token").groupBy("token", "code").agg(F.sum("n").alias("n"))
+    moved = beside.groupBy("token").agg(F.collect_list(F.struct("code", F.col("n").alias("times"))).alias("x")).mapInArrow(_moved(n), "token binary, class int")
+    core = train.sparkSession.createDataFrame(pa.table({"token": pa.array(units.words[: units.frequent], pa.binary()), "class": pa.array(class_of[: units.frequent], pa.int32())}))
+    found = vocabulary.where(F.col("token") != F.lit(END)).join(moved.union(core), "token")
+    return scratch.table(found.select("token", "n", "class"), "classes"), units, counts, n
+
+
+def transitions(n: np.ndarray, class_total: np.ndarray, prior: float) -> np.ndarray:
+    """P(class | class before); in the last column but one P(unseen word | class before), in that row what follows such a word."""
+    add = np.full(len(n), ADD)
+    add[-2] = 0
+    share = (n.sum(axis=0) + add) / (n.sum() + add.sum())
+    move = (n + prior * share) / (n.sum(axis=1, keepdims=True) + prior)
+    room = ADD / class_total
+    room[-2:] = 0
+    move[-2] = share * room @ move / (share * room).sum()
+    move[:, -2] = move @ room
+    return move
+
+
+def score(docs: DataFrame, held_out: Column, classes: int = 48, rounds: int = 6, frequent: int = 8192, known: int = 200_000, prior: float = 5.0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text)."""
+    scratch = Scratch(docs.sparkSession, "brown")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    words, units, counts, _ = word_classes(rows.where("not held_out").select("text"), scratch, classes, rounds, frequent, known)
+    classes += 2
+    per = words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
+    total, distinct = sum(r["n"] for r in per) + int(counts[-1]), sum(r["words"] for r in per) + int(counts[-1] > 0)
     class_total = np.full(classes, ADD)
     for r in per:
         class_total[r["class"]] = r["n"] + ADD * (r["words"] + 1)
-    share = (n.sum(axis=0) + ADD) / (n.sum() + ADD * classes)
-    move = np.log10((n + prior * share) / (n.sum(axis=1, keepdims=True) + prior))
-    model = Model(units, class_of, move, total + ADD * (distinct + 1), class_total)
-
-    scored = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(_score(model, 0), SCORED)
-    met = scored.join(vocabulary, "token", "left")
-    c = F.coalesce("n", F.lit(0))
-    rare = F.col("tf") > 0
-    total_of = F.element_at(F.array(*[F.lit(float(x)) for x in class_total]), F.col("class") + 1)
-    out = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", F.lit(0)) + F.when(rare & (c > 0), F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.coalesce("base", F.lit(0.0)) + F.when(rare, F.col("tf") * F.log10((c + ADD) / F.lit(float(model.word_total)))).otherwise(0.0)).alias("base_score"),
-        F.sum(F.coalesce("score", F.lit(0.0)) + F.when(rare, F.col("tf") * F.log10((c + ADD) / total_of)).otherwise(0.0)).alias("score"),
-    )
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    class_total[-1] = counts[-1] + ADD
+    least = int(counts[: len(units.words)].min(initial=1 << 62))
+    of = {bytes(r["token"]): r["class"] for r in words.where(F.col("n") >= least).select("token", "class").toLocalIterator()} if units.words else {}
+    class_of = np.array([of[w] for w in units.words], np.int64)
+    model = Model(units, class_of, classes, total + ADD * (distinct + 1), class_total)
+
+    read = scratch.table(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(_read(model), READ), "read")
+    other = read.where("token is not null").select("row", "token", "at").join(words.hint("merge"), "token", "left")
+    looked = other.groupBy("row").agg(F.collect_list(F.struct("at", F.coalesce("class", F.lit(model.unseen)).alias("class"), F.coalesce("n", F.lit(0)).alias("n"))).alias("x"))
+    met = read.where("token is null").drop("token", "at").join(looked, "row", "left")
+    paths = scratch.table(met.mapInArrow(_filled(model), PATHS), "paths")
+    scratch.drop(read)
+    n = np.zeros(classes * classes, np.int64)
+    for r in paths.where("not held_out").select("path").mapInArrow(_bigrams(classes), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        n[r["cell"]] = r["n"]
+    scored = paths.mapInArrow(_score(np.log10(transitions(n.reshape(classes, classes), class_total, prior))), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:

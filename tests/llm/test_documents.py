@@ -331,19 +331,103 @@ def test_moves_of_the_exchange_raise_the_likelihood():
     seq = [30]
     for _ in range(4000):
         seq.append(int(r.choice(np.flatnonzero(kind == (kind[seq[-1]] if seq[-1] < 30 else 0)))) if r.random() < 0.95 else int(r.integers(0, 30)))
-    u = np.array([*seq, 30])
-    c = np.array([k % 2 for k in range(30)] + [2])
+    u = np.array([31 if x == 30 else x for x in seq] + [31])  # 30 stands for all other words, 31 for the end
+    c = np.array([k % 2 for k in range(30)] + [2, 3])
 
     def contexts(c):
-        b, a = np.zeros((31, 3), np.int64), np.zeros((31, 3), np.int64)
+        b, a = np.zeros((32, 4), np.int64), np.zeros((32, 4), np.int64)
         np.add.at(b, (u[1:], c[u[:-1]]), 1)
         np.add.at(a, (u[:-1], c[u[1:]]), 1)
         return b, a
 
     for _ in range(8):
         b, a = contexts(c)
-        c = brown.exchange(b, a, c, 3)
-    assert max(np.mean(c[:30] == kind), np.mean(c[:30] != kind)) > 0.9
+        c = brown.exchange(b, a, c, 4)
+    assert max(np.mean(c[:30] == kind), np.mean(c[:30] != kind)) > 0.9 and c[30:].tolist() == [2, 3]
+
+
+def corpus(seed=6, n=60):
+    import random
+
+    r = random.Random(seed)
+    return [(k, " ".join(r.choice(["a", "b", "c", "d", "e", f"w{r.randrange(40)}", f"rare{r.randrange(500)}"]) for _ in range(r.randint(0, 25)))) for k in range(n)]
+
+
+def test_every_word_has_the_class_that_raises_the_likelihood_most(spark):
+    """Words beyond the units against plain Python: the class that gains most, by their own neighbours."""
+    rows = corpus()
+    train = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("text").cast("binary").alias("text"))
+    words, units, _, n = brown.word_classes(train, Scratch(spark, "t"), classes=4, rounds=2, frequent=5, known=20)
+    of = {bytes(r.token): r["class"] for r in words.collect()}
+    count = Counter(w for _, t in rows for w in t.encode().split())
+    assert set(of) == set(count) and {bytes(r.token): r.n for r in words.collect()} == dict(count)
+    core = {w: of[w] for w in units.words[:5]}
+    beside = defaultdict(lambda: (Counter(), Counter()))
+    m = np.zeros((6, 6))
+    for _, t in rows:
+        w = t.encode().split()
+        path = [5, *(core.get(x, 4) for x in w), 5]
+        for x, y in zip(path, path[1:]):
+            m[x, y] += 1
+        for i, x in enumerate(w):
+            beside[x][0][path[i]] += 1
+            beside[x][1][path[i + 2]] += 1
+    assert (m == n).all()
+    f = lambda x: x * np.log(x) if x > 0 else 0.0
+    for w, (before, after) in beside.items():
+        if w in core:
+            continue
+        gain = []
+        for c in range(4):
+            g = sum(f(m[i, c] + x) - f(m[i, c]) for i, x in before.items()) + sum(f(m[c, j] + x) - f(m[c, j]) for j, x in after.items())
+            g -= f(m[c].sum() + count[w]) - f(m[c].sum()) + f(m[:, c].sum() + count[w]) - f(m[:, c].sum())
+            gain.append(g)
+        assert gain[of[w]] == pytest.approx(max(gain), abs=1e-9)
+
+
+def test_scores_against_plain_python(spark):
+    """The score is the sum of class transitions and emissions, counted over all training text with the class of every word."""
+    rows = corpus() + [(None, "a b"), (100, None), (101, "a unseen b"), (102, "A B new New")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") % 3 == 1
+    options = dict(classes=4, rounds=2, frequent=5, known=20)
+    got = brown.score(docs, held, **options).collect()
+    train = [(t or "").lower().split() for d, t in rows if d is None or d % 3 != 1]
+    bytes_ = docs.where("doc_id is null or doc_id % 3 <> 1").select(F.col("text").cast("binary").alias("text"))
+    of = {bytes(r.token).decode(): r["class"] for r in brown.word_classes(bytes_, Scratch(spark, "t"), **options)[0].collect()}
+    count = Counter(w for x in train for w in x)
+    size = Counter(of.values())
+    mass, n = Counter(), np.zeros((6, 6))
+    for w, k in count.items():
+        mass[of[w]] += k
+    for x in train:
+        path = [5, *(of[w] for w in x), 5]
+        for a, b in zip(path, path[1:]):
+            n[a, b] += 1
+    kinds = [0, 1, 2, 3, 5]
+    share = {c: (n[:, c].sum() + 0.5) / (n.sum() + 0.5 * 5) for c in kinds}
+    move = {(a, c): (n[a, c] + 5.0 * share[c]) / (n[a].sum() + 5.0) for a in kinds for c in kinds}
+    room = {c: 0.5 / (mass[c] + 0.5 * (size[c] + 1)) for c in range(4)}  # P(unseen word | class)
+    likely = {c: share[c] * room[c] / sum(share[k] * room[k] for k in room) for c in room}
+
+    def step(a, c):
+        if a is None:
+            return sum(p * step(k, c) for k, p in likely.items())
+        return sum(move[a, k] * room[k] for k in room) if c is None else move[a, c]
+
+    want = []
+    for d, t in rows:
+        w = (t or "").lower().split()
+        path = [5, *(of.get(x) for x in w), 5]
+        s = sum(np.log10(step(a, b)) for a, b in zip(path, path[1:]))
+        s += sum(np.log10((count[x] + 0.5) / (mass[of[x]] + 0.5 * (size[of[x]] + 1))) for x in w if x in of)
+        want.append((d, s))
+    # After any class the next words' probabilities add up to one: known words, one unseen word, the end.
+    for a in kinds:
+        assert sum(move[a, of[x]] * (count[x] + 0.5) / (mass[of[x]] + 0.5 * (size[of[x]] + 1)) for x in of) + step(a, None) + move[a, 5] == pytest.approx(1.0)
+    assert len(got) == len(rows)
+    for d, s in want:
+        assert min(abs(r.score - s) for r in got if r.doc_id == d) < 1e-9
 
 
 def test_move_and_emission_sum_to_one(spark, small):
@@ -591,3 +675,4 @@ def test_simhash_links_at_odd_radii(spark):
     # 192 and 193 each share a value with a smaller one that the other is not near.
     chain = spark.createDataFrame([(0, 192), (1, 193), (2, 64), (3, 129)], "doc_id long, fp long")
     assert {r.component_id for r in simhash.components(chain, Scratch(spark, "t"), 1).collect()} == {0}
+
