@@ -676,3 +676,38 @@ def test_simhash_links_at_odd_radii(spark):
     chain = spark.createDataFrame([(0, 192), (1, 193), (2, 64), (3, 129)], "doc_id long, fp long")
     assert {r.component_id for r in simhash.components(chain, Scratch(spark, "t"), 1).collect()} == {0}
 
+
+def plain_repeated_words(rows, window):
+    """(doc_id, word number) of every word in a window that another document has."""
+    words = {d: (t or "").lower().split() for d, t in rows}
+    where = defaultdict(set)
+    for d, w in words.items():
+        for k in range(len(w) - window + 1):
+            where[tuple(w[k : k + window])].add(d)
+    return {(d, i) for d, w in words.items() for k in range(len(w) - window + 1) if len(where[tuple(w[k : k + window])]) > 1 for i in range(k, k + window)}
+
+
+@pytest.mark.parametrize("seed,kinds", [(1, 3), (2, 40), (3, 1000)])
+def test_passages_that_three_and_more_share_in_part(spark, seed, kinds):
+    """Parts of parts, chained and nested, also within one document, with few and many different words."""
+    import random
+
+    r = random.Random(seed)
+    stock = [[f"w{r.randrange(kinds)}" for _ in range(r.randint(12, 60))] for _ in range(6)]
+    rows = []
+    for d in range(60):
+        w = []
+        for _ in range(r.randint(1, 5)):
+            s = r.choice(stock)
+            a = r.randrange(len(s))
+            w += s[a : a + r.randint(4, 40)] + [f"x{d}y{r.randrange(10**6)}" for _ in range(r.randint(0, 9))]
+        rows.append((1000 - d, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {d: [(m.start(), m.end()) for m in re.finditer(r"\S+", t)] for d, t in rows}
+    got, kept = set(), Counter()
+    for x in repeats.repeated_passages(docs, 10).collect():
+        inside = [i for i, (a, b) in enumerate(spans[x.doc_id]) if x.start <= a and b <= x.start + x.length]
+        assert len(inside) == x.n_words >= 10
+        got |= {(x.doc_id, i) for i in inside}
+        assert x.removed == (x.first_doc_id != x.doc_id)
+    assert got == plain_repeated_words(rows, 10) and got
