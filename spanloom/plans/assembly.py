@@ -228,3 +228,145 @@ def assembled(reads: DataFrame, locus: str, seq: str, least: int, most_reads: in
     out = per_group(kept, [locus], [seq], scan, f"{locus} {kind}, contig int, seq string, n_reads long, too_deep boolean")
     none = deep.select(locus, F.lit(None).cast("int").alias("contig"), F.lit(None).cast("string").alias("seq"), "n_reads", F.lit(True).alias("too_deep"))
     return out.unionByName(none)
+
+
+def guided(reads: Sequence[str], ref: str, least: int, min_score: int = 20) -> tuple[list[tuple[str, int, int]], list[str]]:
+    """Contigs of reads in the order of a reference, as (sequence, begin, end on it), and the reads that none uses.
+
+    Reads are placed by local alignment to the reference; overlaps are looked for from each read to those that begin at or
+    after it, so the graph has no cycle. Paths are taken out until no read is left. Contained contigs go, contigs that
+    overlap are joined until their number stops falling, and of those that overlap on the reference the better aligned stay.
+    """
+    placed = []
+    for s in without_contained(reads):
+        a = align.with_shortcut(s, ref)
+        if a is not None and a.score >= min_score:
+            placed.append((a.r_start - a.q_start, s))
+    placed.sort(key=lambda x: (x[0], -len(x[1]), x[1]))
+    left, contigs = [s for _, s in placed], []
+    while left:
+        forward = [[e for e in edges if e[0] > i] for i, edges in enumerate(overlap_graph(left, least))]
+        path = longest_path(forward)
+        contigs.append(merged_path(left, path))
+        used = {i for i, _ in path}
+        left = [s for i, s in enumerate(left) if i not in used and s not in contigs[-1]]
+    before = None
+    while before != len(contigs):
+        before = len(contigs)
+        contigs = without_contained(contigs)
+        edges = [[e for e in x if e[0] > i] for i, x in enumerate(overlap_graph(contigs, least))]
+        if any(edges):
+            path = longest_path(edges)
+            contigs = [merged_path(contigs, path), *(c for i, c in enumerate(contigs) if i not in {k for k, _ in path})]
+    scored = sorted(((a, c) for c in contigs if (a := align.with_shortcut(c, ref)) is not None), key=lambda x: (-x[0].score, x[0].r_start, x[1]))
+    kept: list[tuple[str, int, int]] = []
+    for a, c in scored:
+        if all(a.r_end <= lo or a.r_start >= hi for _, lo, hi in kept):
+            kept.append((c, a.r_start, a.r_end))
+    kept.sort(key=lambda x: x[1])
+    return kept, [s for s in reads if not any(s in c for c, *_ in kept)]
+
+
+def bridged(contigs: list[tuple[str, int, int]], unused: Sequence[str], least: int) -> list[str]:
+    """Guided contigs from left to right with the gaps between neighbours closed by what unused reads assemble to.
+
+    A bridge overlaps the end of the one and the beginning of the other; of several the one with the longest overlaps is
+    taken, once. The right contig's bases stand where both tell a base.
+    """
+    pieces = assemble(unused, least) if unused else []
+    out: list[str] = []
+    for c, *_ in contigs:
+        if not out:
+            out.append(c)
+            continue
+        direct = align.overlap(out[-1], c, least)
+        if direct is not None:
+            out[-1] = out[-1][: len(out[-1]) - direct[0]] + c
+            continue
+        fits = [(a[0] + b[0], p, a[0], b[0]) for p in pieces if (a := align.overlap(out[-1], p, least)) and (b := align.overlap(p, c, least))]
+        if not fits:
+            out.append(c)
+            continue
+        _, p, a, b = max(fits, key=lambda x: (x[0], x[1]))
+        pieces.remove(p)
+        out[-1] = out[-1] + p[a : len(p) - b] + c
+    return out
+
+
+def template(left: str, insert: str, right: str, least: int = 10) -> str:
+    """Flanks around a predicted insertion; ends that the insertion shares with a flank stand once."""
+    a = align.overlap(left, insert, least)
+    joined = left + insert[a[0] if a else 0 :]
+    b = align.overlap(joined, right, least)
+    return joined + right[b[0] if b else 0 :]
+
+
+def run_lengths(contig: str, reads: Sequence[str], least: int = 10, flank: int = 10) -> str:
+    """contig with each long run of one base as long as most reads that reach over it say; without a majority it stays."""
+    out, at = [], 0
+    while at < len(contig):
+        end = at
+        while end < len(contig) and contig[end] == contig[at]:
+            end += 1
+        size = end - at
+        if size >= least and at >= flank and len(contig) - end >= flank:
+            left, right, base = contig[at - flank : at], contig[end : end + flank], contig[at]
+            votes: dict[int, int] = defaultdict(int)
+            for r in reads:
+                k = r.find(left)
+                if k >= 0:
+                    stop = k + flank
+                    while stop < len(r) and r[stop] == base:
+                        stop += 1
+                    if r.startswith(right, stop):
+                        votes[stop - k - flank] += 1
+            best = max(votes, key=lambda n: (votes[n], -n), default=None)
+            if best is not None and 2 * votes[best] > sum(votes.values()):
+                size = best
+        out.append(contig[at] * size)
+        at = end
+    return "".join(out)
+
+
+def guided_insertion(left: str, right: str, predicted: str, reads: Sequence[str], least: int = 20, anchor: int = 15) -> str | None:
+    """The insertion between two flanks that reads tell when laid on a template with a predicted one; None if none is told.
+
+    Known front and end around '-' where the contigs leave a gap.
+    """
+    t = template(left, predicted, right)
+    contigs, unused = guided(reads, t, least)
+    told = [run_lengths(c, reads) for c in bridged(contigs, unused, least)]
+    if not told:
+        return None
+    l, r = left[-anchor:], right[:anchor]
+    whole = next((c for c in told if l in c and r in c[c.find(l) + anchor :]), None)
+    if whole is not None:
+        a = whole.find(l) + anchor
+        return whole[a : whole.find(r, a)] or None
+    front = next((c[c.rfind(l) + anchor :] for c in told if l in c), "")
+    back = next((c[: c.find(r)] for c in reversed(told) if r in c), "")
+    return f"{front}-{back}" if front and back else None
+
+
+def best_consensus(candidates: Sequence[str], reads: Sequence[tuple[str, Sequence[int]]]) -> tuple[str, float] | None:
+    """The candidate that reads agree with most for its length, and its score; cut to what two reads reach at each end.
+
+    The score is the summed quality of agreeing bases over the logarithm of the length.
+    """
+    import math
+
+    best = None
+    for c in sorted(set(candidates), key=lambda x: (len(x), x)):
+        total, spans = 0, []
+        for s, q in reads:
+            p = align.best_placement(s, c)
+            if p is not None:
+                total += sum(x for x, a, b in zip(q, s, c[p[0] :]) if a == b)
+                spans.append((p[0], p[0] + len(s)))
+        if len(spans) < 2:
+            continue
+        score = total / math.log(max(2, len(c)))
+        lo, hi = sorted(a for a, _ in spans)[1], sorted(b for _, b in spans)[-2]
+        if hi > lo and (best is None or score > best[1]):
+            best = c[lo:hi], score
+    return best

@@ -255,6 +255,10 @@ def insertion_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
+#: The columns of a variant that comparisons read.
+COMPARED = ("id", "sample", "chr", "start", "end", "svtype", "ins_seq", "imprecise", "gt", "epr", "consistent_reads", "alt_reads", "ext_alt_score")
+
+
 def candidate_pairs(benchmark: DataFrame, called: DataFrame, m: Match, repeats: DataFrame | None = None, similarity: float = 0.0, width: int | None = None) -> DataFrame:
     """Pairs (a: benchmark, b: called) that are compatible, with their score. Cheap conditions come before alignment.
 
@@ -262,7 +266,8 @@ def candidate_pairs(benchmark: DataFrame, called: DataFrame, m: Match, repeats:
     """
     reach = max(*m.distance, m.in_repeat if repeats is not None else 0)
     width = width or 2 * reach
-    side = lambda df, n, pad: df.select("chr", F.struct(*df.columns).alias(n), (F.col("start") - pad).alias(f"{n}_lo"), (F.col("end") + pad).alias(f"{n}_hi"))
+    # Only what is compared travels: long texts beside it stay where they are.
+    side = lambda df, n, pad: df.select("chr", F.struct(*[c for c in df.columns if c in COMPARED]).alias(n), (F.col("start") - pad).alias(f"{n}_lo"), (F.col("end") + pad).alias(f"{n}_hi"))
     # An end within reach of the other's means that one, widened by reach, meets the other.
     a, b = side(benchmark, "a", reach), side(called, "b", 0)
     repeat = None

@@ -94,7 +94,7 @@ def parse(lines: DataFrame) -> DataFrame:
     """
     f = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split("value", "\t"))
     at = lambda k: F.get("f", F.lit(k))
-    pairs = F.transform(F.filter(F.split(at(7), ";"), lambda x: (x != "") & (x != ".")), lambda x: F.struct(F.regexp_extract(x, "^([^=]*)", 1).alias("key"), F.regexp_extract(x, "^[^=]*=?(.*)$", 1).alias("value")))
+    pairs = F.transform(F.filter(F.split(at(7), ";"), lambda x: (x != "") & (x != ".")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.substr(x, F.length(F.substring_index(x, "=", 1)) + 2).alias("value")))
     info = F.map_from_entries(F.aggregate(pairs, F.array().cast("array<struct<key:string,value:string>>"), lambda a, x: F.when(F.exists(a, lambda y: y["key"] == x["key"]), a).otherwise(F.concat(a, F.array(x)))))
     fmt = F.when(at(9).isNotNull(), F.map_from_arrays(F.split(at(8), ":"), F.slice(F.concat(F.split(at(9), ":"), F.array_repeat(F.lit("."), F.size(F.split(at(8), ":")))), F.lit(1), F.size(F.split(at(8), ":")))))
     keep = [c for c in lines.columns if c != "value"]
