@@ -4,7 +4,7 @@ Every word of the training text gets its class by exchange: it goes where it rai
 The ``frequent`` most counted words do so in rounds: a pass over all training text counts, for each of them, the classes
 before and after it; with these counts they are moved one after the other. All other words, however many, wait in a class
 of their own during the rounds. Then each is moved once, by the counts of its own neighbours' classes against the class
-bigrams that the rounds left: a table of (word, class beside it, count), summed by word in Spark, so no word is outside
+bigrams that the rounds left, smoothed: a table of (word, class beside it, count), summed by word in Spark, so no word is outside
 exchange and nothing but classes times classes has to be in one place. (Rounds over parts of the vocabulary with counts
 frozen meanwhile are the published distributed form of exchange clustering.) At last class bigrams are counted anew over
 all training text, now with the class of every word.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, remainder
+from .common import Scratch, remainder, tidy
 
 #: No word holds a space, so this stands for the end of a text in the table of counts.
 END = b" "
@@ -130,7 +130,7 @@ def _contexts(class_of: np.ndarray, classes: int):
 
 
 def count_contexts(blobs: DataFrame, class_of: np.ndarray, classes: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    summed = blobs.mapInArrow(_contexts(class_of, classes), "cell long, before long, after long").groupBy("cell").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+    summed = blobs.mapInArrow(tidy(_contexts(class_of, classes)), "cell long, before long, after long").groupBy("cell").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
     summed = scratch.table(summed, "contexts")
     got = summed.toArrow()
     scratch.drop(summed)
@@ -228,23 +228,26 @@ def _beside(units: Units, class_of: np.ndarray, classes: int):
     return run
 
 
-def best_classes(starts: np.ndarray, codes: np.ndarray, times: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The class that raises the likelihood most for each word; its (code, times) begin at starts. n: class bigrams."""
+def best_classes(starts: np.ndarray, codes: np.ndarray, times: np.ndarray, n: np.ndarray, prior: float = 50.0) -> np.ndarray:
+    """The class that raises the likelihood most for each word; its (code, times) begin at starts. n: class bigrams.
+
+    A word that joins a class with counts that don't change adds the logarithms of the shares that its neighbours have among
+    the class's own, before and after. Shares are smoothed by those of all classes: else every word that joins a class
+    of a few tokens, or an empty one, would seem to gain, and as all move at once they would all go there.
+    """
     n, classes = n.astype(float), len(n)
     free = classes - 2
     # Row code, column class: how often the class follows the neighbour before, or the neighbour after follows the class.
     have = np.concatenate((n[:, :free], n.T[:, :free]))
-    rows, cols = n.sum(axis=1)[:free], n.sum(axis=0)[:free]
-    gain = np.zeros((len(starts), free))
+    share = np.concatenate((n.sum(axis=1), n.sum(axis=0))) / max(n.sum(), 1.0)
+    of = np.concatenate((np.tile(n.sum(axis=0)[:free], (classes, 1)), np.tile(n.sum(axis=1)[:free], (classes, 1))))
+    gain = np.log((have + prior * share[:, None] + 1e-9) / (of + prior + 1e-9))
+    out = np.zeros(len(starts), np.int64)
     for lo in range(0, len(starts), 4096):
         hi = min(len(starts), lo + 4096)
         a, z = starts[lo], starts[hi] if hi < len(starts) else len(codes)
-        x, c = times[a:z, None].astype(float), codes[a:z]
-        part = _xlogx(have[c] + x) - _xlogx(have[c])
-        gain[lo:hi] = np.add.reduceat(part, starts[lo:hi] - a, axis=0)
-        total = np.add.reduceat(np.where(c < classes, times[a:z], 0), starts[lo:hi] - a).astype(float)[:, None]
-        gain[lo:hi] -= _xlogx(rows + total) - _xlogx(rows) + _xlogx(cols + total) - _xlogx(cols)
-    return gain.argmax(axis=1)
+        out[lo:hi] = np.add.reduceat(times[a:z, None] * gain[codes[a:z]], starts[lo:hi] - a, axis=0).argmax(axis=1)
+    return out
 
 
 def _moved(n: np.ndarray):
@@ -378,16 +381,16 @@ def word_classes(train: DataFrame, scratch: Scratch, classes: int = 48, rounds:
     classes += 2
     if classes > OPEN or frequent > (1 << 16) - 2:
         raise ValueError("at most 253 classes and 65534 frequent words")
-    vocabulary = scratch.table(train.mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    vocabulary = scratch.table(train.mapInArrow(tidy(_count), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     top = most_counted(vocabulary.where(F.col("token") != F.lit(END)), known)
     ends = vocabulary.where(F.col("token") == F.lit(END)).first()
     counts = np.array([r["n"] for r in top] + [ends["n"] if ends else 0], np.int64)
     units = Units([bytes(r["token"]) for r in top], counts, min(frequent, len(top)))
-    blobs = scratch.table(train.mapInArrow(_encode(units), "units binary"), "units")
+    blobs = scratch.table(train.mapInArrow(tidy(_encode(units)), "units binary"), "units")
     class_of, n = cluster(blobs, units, classes, rounds, scratch)
     scratch.drop(blobs)
-    beside = train.mapInArrow(_beside(units, class_of, classes), "token binary, code int, n long").repartition("token").groupBy("token", "code").agg(F.sum("n").alias("n"))
-    moved = beside.groupBy("token").agg(F.collect_list(F.struct("code", F.col("n").alias("times"))).alias("x")).mapInArrow(_moved(n), "token binary, class int")
+    beside = train.mapInArrow(tidy(_beside(units, class_of, classes)), "token binary, code int, n long").repartition("token").groupBy("token", "code").agg(F.sum("n").alias("n"))
+    moved = beside.groupBy("token").agg(F.collect_list(F.struct("code", F.col("n").alias("times"))).alias("x")).mapInArrow(tidy(_moved(n)), "token binary, class int")
     core = train.sparkSession.createDataFrame(pa.table({"token": pa.array(units.words[: units.frequent], pa.binary()), "class": pa.array(class_of[: units.frequent], pa.int32())}))
     found = vocabulary.where(F.col("token") != F.lit(END)).join(moved.union(core), "token")
     return scratch.table(found.select("token", "n", "class"), "classes"), units, counts, n
@@ -423,14 +426,14 @@ def score(docs: DataFrame, held_out: Column, classes: int = 48, rounds: int = 6,
     class_of = np.array([of[w] for w in units.words], np.int64)
     model = Model(units, class_of, classes, total + ADD * (distinct + 1), class_total)
 
-    read = scratch.table(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(_read(model), READ), "read")
+    read = scratch.table(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(tidy(_read(model)), READ), "read")
     other = read.where("token is not null").select("row", "token", "at").join(words.hint("merge"), "token", "left")
     looked = other.groupBy("row").agg(F.collect_list(F.struct("at", F.coalesce("class", F.lit(model.unseen)).alias("class"), F.coalesce("n", F.lit(0)).alias("n"))).alias("x"))
     met = read.where("token is null").drop("token", "at").join(looked, "row", "left")
-    paths = scratch.table(met.mapInArrow(_filled(model), PATHS), "paths")
+    paths = scratch.table(met.mapInArrow(tidy(_filled(model)), PATHS), "paths")
     scratch.drop(read)
     n = np.zeros(classes * classes, np.int64)
-    for r in paths.where("not held_out").select("path").mapInArrow(_bigrams(classes), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in paths.where("not held_out").select("path").mapInArrow(tidy(_bigrams(classes)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         n[r["cell"]] = r["n"]
     scored = paths.mapInArrow(_score(np.log10(transitions(n.reshape(classes, classes), class_total, prior))), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

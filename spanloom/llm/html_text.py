@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'"<>])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -253,7 +253,7 @@ def extract(pages: DataFrame, min_pages: int = 5, growth: float = 0.5) -> DataFr
     scratch = Scratch(pages.sparkSession, "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(host).alias("host"), F.xxhash64("url", "html").alias("html_hash"))
-    parts = scratch.table(keyed.select("page_id", "html_hash", "host", "html").mapInArrow(_keys, KEYS), "parts")
+    parts = scratch.table(keyed.select("page_id", "html_hash", "host", "html").mapInArrow(tidy(_keys), KEYS), "parts")
     # The most frequent part of a large host is one key, but it is counted before rows are sent.
     each = parts.select("host", "text_hash", F.explode("parts").alias("part"))
     seen = each.distinct().groupBy("host", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
@@ -263,7 +263,7 @@ def extract(pages: DataFrame, min_pages: int = 5, growth: float = 0.5) -> DataFr
     removed = on_page.groupBy("page_id", "html_hash").agg(F.collect_set("part").alias("parts"))
     removed = scratch.table(removed, "removed").select(F.col("page_id").alias("r_id"), F.col("html_hash").alias("r_hash"), "parts")
     joined = keyed.join(removed, (keyed["html_hash"] == removed["r_hash"]) & keyed["page_id"].eqNullSafe(removed["r_id"]), "left")
-    return joined.select("page_id", "url", "html", "parts").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "parts").mapInArrow(tidy(_extract), "page_id long, url string, text string, n_chars long")
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import remainder
+from .common import remainder, tidy
 
 UND = "und"
 FAST, THOROUGH = 3, 12
@@ -113,7 +113,7 @@ def _predict(dictionaries: dict[str, bytes], min_margin: float):
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.01) -> DataFrame:
     """docs with _sl_lang, _sl_score (0 to 1) and _sl_reject."""
     more = [StructField("_sl_lang", StringType()), StructField("_sl_score", DoubleType()), StructField("_sl_reject", BooleanType())]
-    return docs.mapInArrow(_predict(dictionaries, min_margin), StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(tidy(_predict(dictionaries, min_margin)), StructType([*docs.schema.fields, *more]))
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

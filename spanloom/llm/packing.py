@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import tidy
+
 END = 2
 WINDOW = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -280,7 +282,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, most_open: int | None = None) -> DataFrame:
     """One row for each piece of a document (doc_id, text); no shuffle."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_pack(tokenizer_file, window, most_open), PIECES)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(_pack(tokenizer_file, window, most_open)), PIECES)
 
 
 def public_tokenizer() -> str:

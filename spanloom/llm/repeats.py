@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, tidy
 
 SHINGLE = 5
 PLACES = "row long, doc_id long, paragraph int, start long, length long, n_words int, class long, bands array<long>"
@@ -291,7 +291,7 @@ def _across(big: DataFrame, linked: DataFrame, texts: DataFrame, similarity: flo
     largest = kinds.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
     mixed_ones = scratch.table(named.join(largest.hint("merge"), "band"), "mixed")
     able = texts.join(mixed_ones.select("class").distinct().hint("merge"), "class", "left_semi")
-    sets = scratch.table(able.select("class", "text").mapInArrow(_shingle_rows, "class long, shingle long"), "sets")
+    sets = scratch.table(able.select("class", "text").mapInArrow(tidy(_shingle_rows), "class long, shingle long"), "sets")
     alone = sets.groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("other")).where("class = other").groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
     slack = 1e-9
     most = F.floor((F.col("n") - F.coalesce("alone", F.lit(0))) * ((1 + similarity) / similarity) - F.col("n") + slack)
@@ -309,9 +309,9 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, similarity: float
     """row, doc_id, paragraph, start, length, n_words, cluster_id, n_places, first_doc_id, removed: every repeated paragraph."""
     scratch = Scratch(docs.sparkSession, "repeats")
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places = scratch.table(source.mapInArrow(_places(min_words, bands, rows), PLACES), "places")
+    places = scratch.table(source.mapInArrow(tidy(_places(min_words, bands, rows)), PLACES), "places")
 
-    told = places.where("bands is not null").select("class", "bands").mapInArrow(_band_rows, "band long, class long, next long").repartition("band")
+    told = places.where("bands is not null").select("class", "bands").mapInArrow(tidy(_band_rows), "band long, class long, next long").repartition("band")
     # Most bands have one class; they go before anything is sorted.
     several = told.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
     counted = told.join(several.hint("shuffle_hash"), "band", "left_semi").groupBy("band", "class", "next").agg(F.count(F.lit(1)).alias("n"))
@@ -324,13 +324,13 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, similarity: float
 
     # The wanted classes grow with the documents, so the join is by shuffle at every size; the same shuffle serves the pick.
     wanted = scratch.table(shared.select("class").distinct(), "wanted")
-    texts = docs.select("text").mapInArrow(_texts(min_words), "class long, text binary").join(wanted.hint("merge"), "class", "left_semi").dropDuplicates(["class"])
-    texts = scratch.table(texts.mapInArrow(_mapped, MAPPED), "texts")
+    texts = docs.select("text").mapInArrow(tidy(_texts(min_words)), "class long, text binary").join(wanted.hint("merge"), "class", "left_semi").dropDuplicates(["class"])
+    texts = scratch.table(texts.mapInArrow(tidy(_mapped), MAPPED), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
         with_a = pairs.hint("merge").join(prefixed(texts, "a_").withColumnRenamed("a_class", "u"), "u")
         with_both = with_a.hint("merge").join(prefixed(texts, "b_").withColumnRenamed("b_class", "v"), "v").where(_can_be_alike(similarity, "a_", "b_"))
-        return with_both.select("u", "v", F.col("a_text").alias("a"), F.col("b_text").alias("b")).mapInArrow(_verify(similarity), "u long, v long")
+        return with_both.select("u", "v", F.col("a_text").alias("a"), F.col("b_text").alias("b")).mapInArrow(tidy(_verify(similarity)), "u long, v long")
 
     linked = scratch.table(connected_components(links(pairs), scratch).withColumnRenamed("node", "class"), "linked")
     rest = scratch.table(_across(shared.where(F.col("size") > near + 1), linked, texts, similarity, scratch), "rest")
@@ -577,7 +577,7 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     beside = window - size
     scratch = Scratch(docs.sparkSession, "passages")
     source = scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "source")
-    grams = scratch.table(source.mapInArrow(_grams(window), GRAMS), "grams")
+    grams = scratch.table(source.mapInArrow(tidy(_grams(window)), GRAMS), "grams")
     # The first place by doc_id (null last); with equal ids any one, but the same for all three columns.
     order = F.coalesce("doc_id", F.lit(2**63 - 1))
     again = grams.groupBy("gram").agg(*[F.min_by(c, order).alias(f) for c, f in (("doc_id", "f_doc"), ("row", "f_row"), ("at", "f_at"))], F.min("row").alias("low"), F.max("row").alias("high"), (F.count(F.lit(1)) > 2).alias("more"), F.max("again").alias("twice"))
@@ -587,12 +587,12 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     held = scratch.table(source.join(scratch.table(hits, "hits").hint("merge"), "row"), "held")
     scratch.drop(source, grams, again)
 
-    contexts = scratch.table(held.mapInArrow(_contexts(window), CONTEXTS), "contexts")
+    contexts = scratch.table(held.mapInArrow(tidy(_contexts(window)), CONTEXTS), "contexts")
     firsts = contexts.where("side < 0").select("gram", F.col("before").alias("f_before"), F.col("after").alias("f_after"))
     met = contexts.where("side >= 0").join(firsts.hint("shuffle_hash"), "gram")
     met = met.select("row", "at", "f_row", "side", F.when(F.col("side") == 0, F.col("before")).otherwise(F.col("after")).alias("words"), F.when(F.col("side") == 0, F.col("f_before")).otherwise(F.col("f_after")).alias("first_words"))
-    reach = met.mapInArrow(_reach(beside), "row long, at int, f_row long, side int, reach int").groupBy("row").agg(F.collect_list(F.struct("at", "f_row", "side", "reach")).alias("reach"))
-    spans = scratch.table(held.join(scratch.table(reach, "reach").hint("merge"), "row", "left").mapInArrow(_spans(window), SPANS), "spans")
+    reach = met.mapInArrow(tidy(_reach(beside)), "row long, at int, f_row long, side int, reach int").groupBy("row").agg(F.collect_list(F.struct("at", "f_row", "side", "reach")).alias("reach"))
+    spans = scratch.table(held.join(scratch.table(reach, "reach").hint("merge"), "row", "left").mapInArrow(tidy(_spans(window)), SPANS), "spans")
     scratch.drop(contexts)
 
     single = spans.where("kind = 1").select("row", "doc_id", "a", "z", "run")
@@ -614,7 +614,7 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     kept = islands(begun, ["f_row"], "f_a", "f_z").groupBy("f_row", "f_doc", "island").agg(F.min("f_a").alias("a"), F.max("f_z").alias("z"), F.max("n_places").alias("n_places"))
     found = removed.union(kept.select(F.col("f_row").alias("row"), "a", "z", "f_doc", "n_places", F.lit(False).alias("removed")))
     found = scratch.table(found.groupBy("row").agg(F.collect_list(F.struct("a", "z", "f_doc", "n_places", "removed")).alias("found")), "found")
-    return held.drop("hits").join(found.hint("merge"), "row").mapInArrow(_told(window), PASSAGES)
+    return held.drop("hits").join(found.hint("merge"), "row").mapInArrow(tidy(_told(window)), PASSAGES)
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

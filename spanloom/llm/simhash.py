@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, tidy
 
 SEED = 42
 CHUNK = 1 << 14
@@ -77,7 +77,7 @@ def ball(fp: str, half: int) -> F.Column:
 def with_fingerprint(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id as long and fp (signed 64-bit) for every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints(size), "doc_id long, fp long")
+    return rows.mapInArrow(tidy(_fingerprints(size)), "doc_id long, fp long")
 
 
 def components(prints: DataFrame, scratch: Scratch, radius: int = 2) -> DataFrame:
@@ -104,14 +104,15 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFram
     return prints.join(components(prints, scratch, radius), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = 2, size: int = 3, scratch: Scratch | None = None) -> DataFrame:
     """One row of docs for each component: the one with the smallest doc_id (null last, then by fingerprint).
 
-    Of repeated rows with that id and fingerprint one stays. Columns are those of docs.
+    Of repeated rows with that id and fingerprint one stays. Columns are those of docs. A scratch that is given can be closed
+    once the result is written.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
+    scratch = scratch or Scratch(docs.sparkSession, "simhash")
     schema = StructType([*docs.schema.fields, StructField("_sl_fp", LongType())])
-    marked = scratch.table(docs.mapInArrow(_appended(size), schema), "documents")
+    marked = scratch.table(docs.mapInArrow(tidy(_appended(size)), schema), "documents")
     found = components(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_sl_fp").alias("fp")), scratch, radius)
     key = ["_sl_no_id", "_sl_id", "_sl_fp"]
     split_id = [F.col("id").isNull().alias("_sl_no_id"), F.coalesce("id", F.lit(0)).alias("_sl_id")]
