@@ -29,7 +29,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repeats.keep_first(simhash.keep_first(docs))
+    first = Scratch(spark, "simhash")
+    out = repeats.keep_first(simhash.keep_first(docs, scratch=first))
+    first.close()  # what SimHash kept is written by now, in the table that out reads
+    return out
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
