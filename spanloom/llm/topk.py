@@ -7,7 +7,8 @@ the query's tenth best score so far are dropped, and the survivors are compacted
 falling mass, which is measured over all vectors.
 
 Queries and candidates meet in groups of ``per_task`` blocks of at most ``block`` vectors each: every query group is sent to
-every candidate group once, so a task holds so many blocks of each whatever the size of the table.
+every candidate group once, so a task holds so many blocks of each whatever the size of the table. One block of candidates
+is searched for all queries first; the k-th best scores found there are where every task begins to prune.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows without an id;
 shorter vectors count as padded with zeros; rows with the query's own id are no candidates; repeated rows are queries of
@@ -77,14 +78,17 @@ def tail_mass(m: np.ndarray, step: int) -> np.ndarray:
     return np.sqrt(sq[::step]) * (1 + 1e-9) + 1e-9
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, step: int, best: list[list]) -> None:
-    """Keep in best, for each query, its k highest (score, -id) of this and earlier candidate blocks."""
+def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, step: int, best: list[list], floors: np.ndarray | None = None) -> None:
+    """Keep in best, for each query, its k highest (score, -id) of this and earlier candidate blocks.
+
+    floors: for each query a score that k other vectors are known to reach, so that what falls short of it can go.
+    """
     rest_q, rest_c = tail_mass(q, step), tail_mass(c, step)
     # Below 2**53 every partial sum is a whole number that a double holds; beyond, Python's whole numbers are used.
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * len(q) < 2.0**53
     for j, qid in enumerate(q_ids.tolist()):
         held = best[j]
-        floor = held[-1][0] if len(held) >= k else -np.inf
+        floor = max(held[-1][0] if len(held) >= k else -np.inf, -np.inf if floors is None else floors[j])
         alive = np.flatnonzero(c_ids != qid)
         if not exact:
             whole = [int(v) for v in q[:, j]]
@@ -112,16 +116,35 @@ def _first(score: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
     return list(zip(score[at].tolist(), (-ids[at]).tolist()))
 
 
-def _search(k: int, step: int, d: int):
-    def parts(t: pa.Table) -> list[tuple]:
-        return [(r["block"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["dims"]).reshape(d, r["n"])) for r in t.to_pylist()]
+def _unpacked(r: dict, d: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["dims"]).reshape(d, r["n"])
+
+
+def _floored(seed: dict, k: int, step: int, d: int):
+    """Query blocks with each query's k-th best score among the vectors of one candidate block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c_ids, c = _unpacked(seed, d)
+        for b in batches:
+            floors = []
+            for r in b.to_pylist():
+                q_ids, q = _unpacked(r, d)
+                best: list[list] = [[] for _ in q_ids]
+                search_block(q_ids, q, c_ids, c, k, step, best)
+                floors.append(np.array([x[-1][0] if len(x) >= k else -np.inf for x in best], float).tobytes())
+            yield b.append_column("floors", pa.array(floors, pa.binary()))
+
+    return run
 
+
+def _search(k: int, step: int, d: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        rows, blocks = [], parts(candidates)
-        for key, q_ids, q in parts(queries):
+        rows, blocks = [], [_unpacked(r, d) for r in candidates.to_pylist()]
+        for r in queries.to_pylist():
+            key, (q_ids, q), floors = r["block"], _unpacked(r, d), np.frombuffer(r["floors"])
             best = [[] for _ in q_ids]
-            for _, c_ids, c in blocks:
-                search_block(q_ids, q, c_ids, c, k, step, best)
+            for c_ids, c in blocks:
+                search_block(q_ids, q, c_ids, c, k, step, best, floors)
             rows += [(key, j, qid, -neg, s) for j, (qid, held) in enumerate(zip(q_ids.tolist(), best)) for s, neg in held]
         cols = zip(*rows) if rows else ((),) * 5
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["q_block", "q_row", "query_id", "vec_id", "score"])
@@ -140,6 +163,12 @@ def top_k(vectors: DataFrame, query: Column, k: int = 10, step: int = 16, block:
     width = max(1, len(order))
     candidates = scratch.table(rows.select("vec_id", "x").mapInArrow(_blocks(order, block), BLOCK), "candidates")
     queries = scratch.table(rows.where("is_query").select("vec_id", "x").mapInArrow(_blocks(order, block), BLOCK), "queries")
+    # One block of candidates, bounded by its size, gives every task a bound to begin with.
+    seed = candidates.orderBy(F.desc("n"), "block").first()
+    if seed is not None:
+        queries = scratch.table(queries.mapInArrow(_floored(seed.asDict(), k, step, width), f"{BLOCK}, floors binary"), "floored")
+    else:
+        queries = queries.withColumn("floors", F.lit(None).cast("binary"))
     groups, q_groups = (max(1, -(-t.count() // per_task)) for t in (candidates, queries))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     c = candidates.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).withColumn("qg", every(q_groups))
