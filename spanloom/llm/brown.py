@@ -27,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,43 @@ PATHS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double
 OPEN = 255
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+class Words:
+    """The words of some texts: Arrow splits them and numbers the different ones, so that each is looked up once.
+
+    words: the different ones; codes: their numbers in turn; of: the number of the text that each stands in.
+    """
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        coded = lists.flatten().dictionary_encode()
+        self.n = len(texts)
+        self.words: list[bytes] = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.codes = coded.indices.to_numpy().astype(np.int64)
+        self.of = np.repeat(np.arange(self.n), pc.list_value_length(lists).to_numpy())
+        if b"" in self.words:  # what white space at the ends of a text leaves
+            real = self.codes != self.words.index(b"")
+            self.codes, self.of = self.codes[real], self.of[real]
+        self.sizes = np.bincount(self.of, minlength=self.n)
+
+    def numbers(self, number: dict[bytes, int]) -> np.ndarray:
+        """The number of each word in turn; -1 where it has none."""
+        return np.fromiter(map(number.get, self.words, repeat(-1)), np.int64, len(self.words))[self.codes]
+
+    def closed(self, values: np.ndarray, end: int) -> np.ndarray:
+        """values in turn with end before the first text and after each one."""
+        return np.concatenate(([end], np.insert(values, np.cumsum(self.sizes), end)))
+
+    def places(self) -> np.ndarray:
+        """Where each word stands in what closed() gives."""
+        return np.arange(len(self.codes)) + 1 + self.of
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Batches in slices of some hundred texts, with their words."""
+    for b in batches:
+        texts = b.column("text").view(pa.string())
+        for k in range(0, b.num_rows, SLICE):
+            yield b.slice(k, SLICE), Words(texts.slice(k, SLICE))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,13 +90,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
 
-    for b in batches:
-        for t in b.column("text"):
-            seen.update(tokens(t.as_py()))
-            seen[END] += 1
-            if len(seen) > FLUSH:
-                yield told()
-                seen.clear()
+    for _, x in sliced(batches):
+        times = np.bincount(x.codes, minlength=len(x.words))
+        for w, n in zip(x.words, times.tolist()):
+            if n:
+                seen[w] += n
+        seen[END] += x.n
+        if len(seen) > FLUSH:
+            yield told()
+            seen.clear()
     if seen:
         yield told()
 
@@ -78,11 +116,9 @@ class Units:
         self.n = self.frequent + 2
         self.number = {w: k for k, w in enumerate(self.words)}
 
-    def read(self, text: bytes | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Words of a text, their numbers (-1: not among words) and units."""
-        w = tokens(text)
-        k = np.fromiter(map(self.number.get, w, repeat(-1)), np.int64, len(w))
-        return w, k, np.where((k >= 0) & (k < self.frequent), k, self.rest)
+    def of_numbers(self, k: np.ndarray) -> np.ndarray:
+        """Units of words by their numbers."""
+        return np.where((k >= 0) & (k < self.frequent), k, self.rest)
 
 
 def _encode(units: Units, size: int = 1 << 20):
@@ -90,19 +126,16 @@ def _encode(units: Units, size: int = 1 << 20):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        end = np.array([units.end], np.uint16)
 
         def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([np.concatenate([end, *held]).tobytes()], pa.binary())], names=["units"])
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate([held[0][:1], *(x[1:] for x in held)]).tobytes()], pa.binary())], names=["units"])
 
-        for b in batches:
-            for t in b.column("text"):
-                u = units.read(t.as_py())[2].astype(np.uint16)
-                held += [u, end]
-                n += len(u) + 1
-                if n >= size:
-                    yield told()
-                    held, n = [], 0
+        for _, x in sliced(batches):
+            held.append(x.closed(units.of_numbers(x.numbers(units.number)), units.end).astype(np.uint16))
+            n += len(held[-1])
+            if n >= size:
+                yield told()
+                held, n = [], 0
         if held:
             yield told()
 
@@ -196,34 +229,46 @@ def cluster(blobs: DataFrame, units: Units, classes: int, rounds: int, scratch:
     return best[1], best[2]
 
 
+BESIDE = "id int, code int, n long, token binary, codes array<int>"
+
+
 def _beside(units: Units, class_of: np.ndarray, classes: int):
-    """(word, code, n) for all words that are no units: code is the class before a word, or classes and the class after it."""
+    """What stands beside the words that are no units: code is the class before a word, or classes and the class after it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, rare = [], 0, Counter()
-        words = pa.array(units.words, pa.binary())
+    Known words come summed as (id, code, n), all others as (token, codes) by slice of texts.
+    """
 
-        def told() -> Iterator[pa.RecordBatch]:
-            key, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([words.take(pa.array(key // (2 * classes))), pa.array((key % (2 * classes)).astype(np.int32)), pa.array(times)], names=["token", "code", "n"])
-            if rare:
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rare], pa.binary()), pa.array([c for _, c in rare], pa.int32()), pa.array(list(rare.values()), pa.int64())], names=["token", "code", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+        names = [c.split()[0] for c in BESIDE.split(", ")]
 
-        for b in batches:
-            for t in b.column("text"):
-                w, k, u = units.read(t.as_py())
-                path = np.concatenate((class_of[-1:], class_of[u], class_of[-1:]))
-                at = np.flatnonzero(k >= units.frequent)
-                held += [k[at] * (2 * classes) + path[at], k[at] * (2 * classes) + classes + path[at + 2]]
-                at = np.flatnonzero(k < 0).tolist()
-                rare.update((w[i], int(path[i])) for i in at)
-                rare.update((w[i], classes + int(path[i + 2])) for i in at)
-                n += len(held[-1])
-                if n > FLUSH * 4 or len(rare) > FLUSH:
-                    yield from told()
-                    held, n = [], 0
-                    rare.clear()
-        yield from told()
+        def told() -> pa.RecordBatch:
+            key, times = np.unique(np.concatenate(held), return_counts=True)
+            cols = [pa.array((key // (2 * classes)).astype(np.int32)), pa.array((key % (2 * classes)).astype(np.int32)), pa.array(times), *(pa.nulls(len(key), t) for t in kinds[3:])]
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        for _, x in sliced(batches):
+            k = x.numbers(units.number)
+            path = x.closed(class_of[units.of_numbers(k)], class_of[-1])
+            place = x.places()
+            before, after = path[place - 1], classes + path[place + 1]
+            at = k >= units.frequent
+            held += [k[at] * (2 * classes) + before[at], k[at] * (2 * classes) + after[at]]
+            n += len(held[-1])
+            at = np.flatnonzero(k < 0)
+            at = at[np.argsort(x.codes[at], kind="stable")]
+            if len(at):
+                word, first = np.unique(x.codes[at], return_index=True)
+                pairs = np.stack((before[at], after[at]), axis=1).astype(np.int32).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.append(2 * first, len(pairs)).astype(np.int32)), pa.array(pairs))
+                cols = [*(pa.nulls(len(word), t) for t in kinds[:3]), pa.array(x.words, pa.binary()).take(pa.array(word)), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+            if n > FLUSH * 4:
+                yield told()
+                held, n = [], 0
+        if n:
+            yield told()
 
     return run
 
@@ -250,15 +295,22 @@ def best_classes(starts: np.ndarray, codes: np.ndarray, times: np.ndarray, n: np
     return out
 
 
-def _moved(n: np.ndarray):
+def _moved(n: np.ndarray, key: str):
+    """The class of each word of key, by x: structs of (code, times), or lists of codes that count once each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = b.column("x")
-                starts = x.offsets.to_numpy()[:-1] - x.offsets[0].as_py()
+                starts = x.offsets.to_numpy() - x.offsets[0].as_py()
                 flat = x.flatten()
-                got = best_classes(starts, flat.field(0).to_numpy(), flat.field(1).to_numpy(), n)
-                yield pa.RecordBatch.from_arrays([b.column("token"), pa.array(got.astype(np.int32))], names=["token", "class"])
+                if pa.types.is_struct(flat.type):
+                    codes, times = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+                else:
+                    inner = flat.offsets.to_numpy() - flat.offsets[0].as_py()
+                    starts, codes = inner[starts], flat.flatten().to_numpy()
+                    times = np.ones(len(codes), np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(best_classes(starts[:-1], codes, times, n).astype(np.int32))], names=[key, "class"])
 
     return run
 
@@ -286,20 +338,24 @@ def _read(m: Model):
         emit_of = np.log10((counts[:-1] + ADD) / m.class_total[m.class_of])
         end_base, end_emit = (float(np.log10((counts[-1] + ADD) / x)) for x in (m.word_total, m.class_total[end]))
         kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-        for b in (x.slice(k, SLICE) for x in batches for k in range(0, x.num_rows, SLICE)):
-            main, rare = [], []
-            for row, doc_id, held, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), b.column("text")):
-                w, k, _ = units.read(t.as_py())
-                seen = k[k >= 0]
-                path = np.full(len(w), OPEN, np.uint8)
-                path[k >= 0] = m.class_of[seen]
-                main.append((row, None, None, doc_id, held, len(w) + 1, len(seen) + int(counts[-1] > 0), float(base_of[seen].sum()) + end_base, float(emit_of[seen].sum()) + end_emit, path.tobytes()))
-                rare += [(row, w[i], i) for i in np.flatnonzero(k < 0).tolist()]
-            n = len(main)
-            cols = [list(c) for c in zip(*main)] or [[]] * 10
-            more = [list(c) for c in zip(*rare)] or [[]] * 3
-            cols = [c + (more[j] if j < 3 else [None] * len(rare)) for j, c in enumerate(cols)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in READ.split(", ")])
+        for b, x in sliced(batches):
+            k = x.numbers(units.number)
+            known = k >= 0
+            sums = lambda v: np.bincount(x.of[known], v[k[known]], x.n)  # noqa: B023, E731
+            path = np.full(len(k), OPEN, np.uint8)
+            path[known] = m.class_of[k[known]]
+            ends = np.cumsum(x.sizes)
+            first = ends - x.sizes
+            other = np.flatnonzero(~known)
+            n = len(other)
+            row = b.column("row")
+            main = [row, pa.nulls(x.n, pa.binary()), pa.nulls(x.n, pa.int32()), b.column("doc_id"), b.column("held_out"), pa.array(x.sizes + 1), pa.array(np.bincount(x.of[known], minlength=x.n) + int(counts[-1] > 0))]
+            main += [pa.array(sums(base_of) + end_base), pa.array(sums(emit_of) + end_emit), pa.array([path[a:z].tobytes() for a, z in zip(first.tolist(), ends.tolist())], pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(main, kinds)], names=[c.split()[0] for c in READ.split(", ")])
+            if n:
+                words = pa.array(x.words, pa.binary()).take(pa.array(x.codes[other]))
+                more = [row.take(pa.array(x.of[other])), words, pa.array((other - first[x.of[other]]).astype(np.int32))] + [pa.nulls(n, t) for t in kinds[3:]]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(more, kinds)], names=[c.split()[0] for c in READ.split(", ")])
 
     return run
 
@@ -374,7 +430,7 @@ def most_counted(vocabulary: DataFrame, known: int) -> list:
 
 
 def word_classes(train: DataFrame, scratch: Scratch, classes: int = 48, rounds: int = 6, frequent: int = 8192, known: int = 200_000) -> tuple[DataFrame, Units, np.ndarray, np.ndarray]:
-    """(token, n, class) of every word of train (text binary), the known words, and the class bigrams of the rounds.
+    """(token, n, class) of every word of train (text binary), the known words and their classes, and the class bigrams of the rounds.
 
     classes counts those of words; two more follow, that of all words that wait (empty in the end) and that of the end.
     """
@@ -389,11 +445,18 @@ def word_classes(train: DataFrame, scratch: Scratch, classes: int = 48, rounds:
     blobs = scratch.table(train.mapInArrow(tidy(_encode(units)), "units binary"), "units")
     class_of, n = cluster(blobs, units, classes, rounds, scratch)
     scratch.drop(blobs)
-    beside = train.mapInArrow(tidy(_beside(units, class_of, classes)), "token binary, code int, n long").repartition("token").groupBy("token", "code").agg(F.sum("n").alias("n"))
-    moved = beside.groupBy("token").agg(F.collect_list(F.struct("code", F.col("n").alias("times"))).alias("x")).mapInArrow(tidy(_moved(n)), "token binary, class int")
-    core = train.sparkSession.createDataFrame(pa.table({"token": pa.array(units.words[: units.frequent], pa.binary()), "class": pa.array(class_of[: units.frequent], pa.int32())}))
-    found = vocabulary.where(F.col("token") != F.lit(END)).join(moved.union(core), "token")
-    return scratch.table(found.select("token", "n", "class"), "classes"), units, counts, n
+    beside = scratch.table(train.mapInArrow(tidy(_beside(units, class_of, classes)), BESIDE), "beside")
+    known_ones = beside.where("id is not null").groupBy("id", "code").agg(F.sum("n").alias("times")).groupBy("id").agg(F.collect_list(F.struct("code", "times")).alias("x"))
+    # The known words are bounded by parameter, so their classes are in one place.
+    class_of_known = np.concatenate((class_of[: units.frequent], np.zeros(len(units.words) - units.frequent, np.int64)))
+    got = known_ones.mapInArrow(tidy(_moved(n, "id")), "id int, class int").toArrow()
+    class_of_known[got.column("id").to_numpy()] = got.column("class").to_numpy()
+    rare = beside.where("token is not null").groupBy("token").agg(F.collect_list("codes").alias("x")).mapInArrow(tidy(_moved(n, "token")), "token binary, class int")
+    core = train.sparkSession.createDataFrame(pa.table({"token": pa.array(units.words, pa.binary()), "class": pa.array(class_of_known, pa.int32())}))
+    found = vocabulary.where(F.col("token") != F.lit(END)).join(rare.union(core).hint("merge"), "token")
+    words = scratch.table(found.select("token", "n", "class"), "classes")
+    scratch.drop(beside)
+    return words, units, class_of_known, n
 
 
 def transitions(n: np.ndarray, class_total: np.ndarray, prior: float) -> np.ndarray:
@@ -413,7 +476,8 @@ def score(docs: DataFrame, held_out: Column, classes: int = 48, rounds: int = 6,
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "brown")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    words, units, counts, _ = word_classes(rows.where("not held_out").select("text"), scratch, classes, rounds, frequent, known)
+    words, units, class_of, _ = word_classes(rows.where("not held_out").select("text"), scratch, classes, rounds, frequent, known)
+    counts = units.counts
     classes += 2
     per = words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
     total, distinct = sum(r["n"] for r in per) + int(counts[-1]), sum(r["words"] for r in per) + int(counts[-1] > 0)
@@ -421,9 +485,6 @@ def score(docs: DataFrame, held_out: Column, classes: int = 48, rounds: int = 6,
     for r in per:
         class_total[r["class"]] = r["n"] + ADD * (r["words"] + 1)
     class_total[-1] = counts[-1] + ADD
-    least = int(counts[: len(units.words)].min(initial=1 << 62))
-    of = {bytes(r["token"]): r["class"] for r in words.where(F.col("n") >= least).select("token", "class").toLocalIterator()} if units.words else {}
-    class_of = np.array([of[w] for w in units.words], np.int64)
     model = Model(units, class_of, classes, total + ADD * (distinct + 1), class_total)
 
     read = scratch.table(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(tidy(_read(model)), READ), "read")
