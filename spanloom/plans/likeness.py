@@ -7,6 +7,7 @@ windows. The conditions are those of variants.compatible.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -189,3 +190,102 @@ def match(m, side: list, ids: list, start: list, end: list, svtype: list, ins: l
         else:
             heapq.heapreplace(heap, again)
     return [i in taken[k >= n] for k, i in enumerate(ids)]
+
+
+def _grouped(start: list, end: list, svtype: list, ins: list, imprecise: list) -> tuple[Forms, list[list[int]]]:
+    """The forms of a session's rows, and each form's rows."""
+    rows: dict = {}
+    for k, form in enumerate(zip(start, end, kinds(svtype), ins, imprecise)):
+        rows.setdefault(form, []).append(k)
+    return Forms([*rows]), [*rows.values()]
+
+
+def cliques(m, gap: int, start: list, end: list, svtype: list, ins: list, imprecise: list) -> list[int]:
+    """Each row's clique, the same as graph.greedy_cliques gives with compatible rows at most gap apart as neighbours.
+
+    Rows of one form have the same neighbours, so what one of them joins or moves to, the next in order does too: only the
+    forms of a clique are compared, and only cliques that hold a neighbour are looked at.
+    """
+    if len(start) == 1:
+        return [0]
+    f, rows = _grouped(start, end, svtype, ins, imprecise)
+    partners = Partners(f, m)
+    near, degree = [], []
+    count = np.array([len(x) for x in rows])
+    for i in range(len(rows)):
+        j = partners.of(f, i)[0]
+        j = j[np.abs(f.start[j] - f.start[i]) <= gap]
+        near.append(j.astype(np.int32))
+        degree.append(int(count[j].sum()))
+    order = sorted(((degree[i], k, i) for i, x in enumerate(rows) for k in x), reverse=True)
+    members: list[dict[int, list[int]]] = []  # by clique: its forms and their rows
+    first: list[int] = []  # by clique: the row that started it
+    size: list[int] = []
+    started = np.full(len(rows), -1)
+    last = home = -1
+    for _, k, i in order:
+        if i != last:
+            own, found = set(near[i].tolist()), started[near[i]]
+            last, home = i, -1
+            for c in sorted(found[found >= 0].tolist(), key=lambda c: (size[c], first[c]), reverse=True):
+                if members[c].keys() <= own:
+                    home = c
+                    break
+        if home < 0:
+            home = started[i] = len(members)
+            members.append({})
+            first.append(k)
+            size.append(0)
+        members[home].setdefault(i, []).append(k)
+        size[home] += 1
+    place = {c: a for a, c in enumerate(sorted(range(len(members)), key=lambda c: (size[c], c)))}
+    holders: list[set] = [set() for _ in rows]
+    for c, x in enumerate(members):
+        for i in x:
+            holders[i].add(c)
+    for c, a in place.items():
+        for i in list(members[c]):
+            own = near[i].tolist()
+            larger = {h for j in own for h in holders[j] if place[h] > a}
+            own = set(own)
+            for h in sorted(larger, key=place.__getitem__, reverse=True):
+                if members[h].keys() <= own:
+                    members[h].setdefault(i, []).extend(members[c].pop(i))
+                    holders[i].discard(c)
+                    holders[i].add(h)
+                    break
+    number = [0] * len(start)
+    kept = sorted((min(map(min, x.values())), c) for c, x in enumerate(members) if x)
+    for n, (_, c) in enumerate(kept):
+        for x in members[c].values():
+            for k in x:
+                number[k] = n
+    return number
+
+
+def beaten(m, ids: list, start: list, end: list, svtype: list, ins: list, imprecise: list, epr: list) -> list[bool]:
+    """Whether a compatible row of another id is better: precise against imprecise, else a higher epr (null: neither)."""
+    lost = [False] * len(ids)
+    if len(ids) == 1:
+        return lost
+    f, rows = _grouped(start, end, svtype, ins, imprecise)
+    known = [k for k, x in enumerate(epr) if x is not None]
+    rank = np.full(len(ids), -1)
+    rank[known] = np.unique(np.array([epr[k] for k in known], float), return_inverse=True)[1]
+    top = np.array([rank[x].max() for x in rows])
+    partners, copies = Partners(f, m), Counter(ids)
+    for i, x in enumerate(rows):
+        j = partners.of(f, i)[0]
+        same = j[f.loose[j] == f.loose[i]]
+        most = top[same].max() if len(same) else -1
+        worse = bool(f.loose[i] and not f.loose[j].all())
+        if not worse and most <= rank[x].min() and rank[x].min() >= 0:
+            continue
+        for k in x:
+            if copies[ids[k]] > 1:
+                # Rows of one id don't compete with each other.
+                rivals = [r for o in j.tolist() for r in rows[o] if ids[r] != ids[k]]
+                lost[k] = any((imprecise[k] and not imprecise[r]) or (imprecise[r] == imprecise[k] and 0 <= rank[k] < rank[r]) for r in rivals)
+            else:
+                lost[k] = worse or 0 <= rank[k] < most
+    return lost

@@ -379,7 +379,8 @@ def cohort(variants: DataFrame, samples: list[str], gap: int = 500, m: Match = M
     """
     keep = variants.where((predicates.alt_alleles() >= 1) & predicates.supported_type() & predicates.is_pass())
     rows = keep.select("sample", "id", "chr", "start", "end", "svtype", F.coalesce("ins_seq", F.lit("")).alias("ins_seq"), F.coalesce("imprecise", F.lit(False)).alias("imprecise"), "epr", F.array_join(F.transform("gt", lambda x: F.coalesce(x.cast("string"), F.lit("."))), "/").alias("gt"))
-    cl = graph.clique_cover(rows, ["chr"], "start", gap, lambda a, b: _compatible(a, b, m), ["end", "svtype", "sample", "id"])
+    use = ["start", "end", "svtype", "ins_seq", "imprecise"]
+    cl = ordered.per_session(rows, ["chr"], "start", "start", gap, ["start", "end", "svtype", "sample", "id"], use, partial(likeness.cliques, m, gap), "clique", pa.int64())
     # A clique's number holds within its session; its first row names it over all.
     cl = ranges.sessions(cl, ["chr"], "start", gap)
     key = ["chr", "session", "clique"]

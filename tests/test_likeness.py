@@ -1,11 +1,13 @@
 """Sessions of variants compared form by form, against the tables of all pairs."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.plans import variants
+from spanloom.operators import graph
+from spanloom.plans import likeness, variants
 
 V = "id string, sample string, chr string, start long, end long, svtype string, ins_seq string, gt array<int>, epr double, imprecise boolean, filters array<string>, consistent_reads int"
 
@@ -50,3 +52,27 @@ def test_compare_matches_sessions_without_a_table_of_pairs(spark, monkeypatch, s
     x, y = hits(a, found, "x"), hits(b, found, "y")
     assert {k: [r.b_tp, r.fn] for k, r in got.items()} == x and {k: [r.c_tp, r.fp] for k, r in got.items()} == y
     assert sum(v[0] for v in x.values()) > 100
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_cliques_of_forms_are_those_of_rows(seed):
+    rows = [(s, e, kind, ins or "", bool(imp)) for _, _, _, s, e, kind, ins, _, _, imp, *_ in some(160, seed, width=4000) if e is not None]
+    rows = sorted(rows + rows[: 20 * (seed % 4)], key=lambda r: r[:3])
+    names = ("start", "end", "svtype", "ins_seq", "imprecise")
+    dicts = [dict(zip(names, r)) for r in rows]
+    m = variants.Match()
+    linked = lambda a, b: abs(rows[a][0] - rows[b][0]) <= 500 and variants._compatible(dicts[a], dicts[b], m)
+    near = [[j for j in range(len(rows)) if j != i and linked(i, j)] for i in range(len(rows))]
+    want = [0] * len(rows)
+    for k, members in enumerate(sorted(map(sorted, graph.greedy_cliques(len(rows), linked, near)))):
+        for i in members:
+            want[i] = k
+    assert likeness.cliques(m, 500, *map(list, zip(*rows))) == want
+
+
+def test_cohort_takes_many_copies_of_a_form(spark):
+    # 6,000 copies of four forms that are all within reach: 18 million pairs of rows.
+    rows = [(f"v{k}", f"s{k % 3}", "c", 100 + k % 4, 400 + k % 4, "DEL", "", [0, 1], 0.5, False, [], 1) for k in range(6000)]
+    t = time.monotonic()
+    got = variants.cohort(spark.createDataFrame(rows, V), ["s0", "s1", "s2"]).collect()
+    assert [(r.n_samples, r.n_calls) for r in got] == [(3, 6000)] and time.monotonic() - t < 30
