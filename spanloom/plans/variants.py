@@ -366,8 +366,10 @@ def compare(benchmark: DataFrame, called: DataFrame, m: Match = Match(), repeats
 
 def deduplicate(variants: DataFrame, m: Match = Match()) -> DataFrame:
     """variants without those that match a better one: precise before imprecise, then epr; ties keep both."""
-    pairs = candidate_pairs(variants, variants, m).where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    return sets.drop_beaten(variants, pairs, "id", ~F.coalesce("imprecise", F.lit(False)), "epr")
+    rows = variants.select("id", "chr", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "svtype", F.coalesce("ins_seq", F.lit("")).alias("ins_seq"), F.coalesce("imprecise", F.lit(False)).alias("imprecise"), "epr")
+    use = ["id", "start", "end", "svtype", "ins_seq", "imprecise", "epr"]
+    found = sessions_of(rows.dropna(subset=["id", "chr", "start", "end", "svtype"]), m, ["start"], use, partial(likeness.beaten, m), "lost", pa.bool_())
+    return variants.join(found.where("lost").select("id").distinct(), "id", "left_anti")
 
 
 def cohort(variants: DataFrame, samples: list[str], gap: int = 500, m: Match = Match()) -> DataFrame:
