@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import align, predicates, sequence
 from ..functions.types import struct
-from ..operators import coverage, graph, ordered, ranges, sets, stats
+from ..operators import counting, coverage, graph, ordered, ranges, sets, stats
 
 
 def categorised(reads: DataFrame, min_is: int, max_is: int, min_mapq: int = 20, min_clip: int = 15, min_diff: int = 3, min_size: int = 50) -> DataFrame:
@@ -154,6 +155,42 @@ def duplication_labels(pairs: DataFrame, dups: DataFrame, slack: int = 5, width:
     return met.withColumn("label", label).drop("d_lo", "d_hi")
 
 
+def duplication_counts(pairs: DataFrame, dups: DataFrame, slack: int = 5, width: int = 10_000) -> DataFrame:
+    """sv_id, label, n: how many pairs duplication_labels gives each label, counted by bin without listing pairs of both."""
+    d = dups.select("contig", F.col("id").alias("sv_id"), F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"))
+    kind = F.when(F.col("outward"), 1).when(~F.col("outward"), 0).otherwise(2)
+    p = ranges.binned(pairs.where("contig is not null").select("contig", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), kind.alias("outward")), ("lo", "hi"), width, "_bin", "_first").drop("_first")
+    v = ranges.binned(d.where("contig is not null"), ("s", "e"), width, "_bin", "_first").select("contig", "_bin", "sv_id", "s", "e")
+
+    def labels(p: dict, s: np.ndarray, e: np.ndarray) -> dict:
+        out, n = {"alt": np.zeros(len(s), np.int64), "ref": np.zeros(len(s), np.int64)}, np.zeros(len(s), np.int64)
+        for kind in np.unique(p["outward"]):
+            at = p["outward"] == kind
+            x = counting.Spans(p["lo"][at], p["hi"][at])
+            zero, end = np.zeros(len(s), np.int64), x.places(e, True)
+            n += end - x.hi.count(zero, end, s)
+            if kind == 1:
+                begin = x.places(s - slack)
+                out["alt"] = x.hi.count(begin, end, e + slack, True) - x.hi.count(begin, end, s)
+            elif kind == 0:
+                a, b = x.places(s), x.places(e)
+                over = lambda r, y: r - x.hi.count(zero, r, y, True)  # noqa: E731, B023
+                out["ref"] = over(a, s) + over(b, e) - over(a, e)
+        return {**out, "neutral": n - out["alt"] - out["ref"]}
+
+    def count(key: tuple, p: dict, v: dict) -> dict:
+        # A pair counts in the later of the two first bins, as in range_join.
+        new, born = v["s"] // width == key[1], p["lo"] // width == key[1]
+        parts = [labels(q, v["s"][at], v["e"][at]) for at, q in ((new, p), (~new, {k: x[born] for k, x in p.items()}))]
+        return {"sv_id": np.concatenate([v["sv_id"][new], v["sv_id"][~new]]), **{k: np.concatenate([x[k] for x in parts]) for k in ("alt", "ref", "neutral")}}
+
+    kind_of_id = dict(v.dtypes)["sv_id"]
+    found = counting.cogrouped(p, v, ["contig", "_bin"], count, f"sv_id {kind_of_id}, alt long, ref long, neutral long")
+    total = found.groupBy("sv_id").agg(*[F.sum(k).alias(k) for k in ("alt", "ref", "neutral")])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.col(k).alias("n")) for k in ("alt", "ref", "neutral")]))
+    return total.select("sv_id", each.alias("x")).select("sv_id", "x.label", "x.n").where("n > 0")
+
+
 def pair_support(labels: DataFrame, high: int = 20) -> DataFrame:
     """Counts and quality of the pairs of each label, one row a variant."""
     aggs = [c for x in ("alt", "ref", "neutral") for c in stats.support(x, F.col("label") == x, F.col("mapq") >= F.col("mate_mapq"), F.least("mapq", "mate_mapq"), high)]
