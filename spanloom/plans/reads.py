@@ -273,11 +273,32 @@ def best_regions(hits: DataFrame, k: int = 3) -> DataFrame:
 
 
 def stray_pairs(pairs: DataFrame, variants: DataFrame, reach: int, width: int = 10_000) -> DataFrame:
-    """sv_id, n: discordant pairs that begin within reach before a variant's start or end after its end, but explain nothing."""
-    v = variants.select("contig", F.col("id").alias("sv_id"), (F.col("start") - reach).alias("v_lo"), (F.col("end") + reach).alias("v_hi"), "start", "end")
-    met = ranges.point_join(pairs.where("discordant").select("contig", "qname", "lo", "hi"), v, ["contig"], "lo", ("v_lo", "v_hi"), width)
-    out = met.where(~((F.col("lo") <= F.col("start")) & (F.col("hi") >= F.col("end"))))
-    return out.groupBy("sv_id").agg(F.count_distinct("qname").alias("n"))
+    """sv_id, n: discordant pairs that begin within reach before a variant's start or end after its end, but explain nothing.
+
+    Pairs are counted by their names.
+    """
+    v = variants.select("contig", F.col("id").alias("sv_id"), (F.col("start") - reach).cast("long").alias("v_lo"), (F.col("end") + reach).cast("long").alias("v_hi"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    # A pair of one place and a variant of one row are counted by bin; only what is left needs its names compared.
+    p = pairs.where("discordant and contig is not null").select("contig", "qname", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    p = p.withColumn("_one", (F.count(F.lit(1)).over(Window.partitionBy("contig", "qname")) == 1) & F.col("qname").isNotNull() & F.col("hi").isNotNull() & F.col("lo").isNotNull())
+    v = v.withColumn("_once", F.count(F.lit(1)).over(Window.partitionBy("sv_id")) == 1)
+    once, again = v.where("_once").drop("_once"), v.where("not _once").drop("_once")
+
+    def count(key: tuple, p: dict, v: dict) -> dict:
+        x = counting.Spans(p["lo"], p["hi"])
+        lo, hi, mid = x.places(v["v_lo"]), x.places(v["v_hi"], True), x.places(np.minimum(v["start"], v["v_hi"]), True)
+        return {"sv_id": v["sv_id"], "n": hi - lo - (mid - lo - x.hi.count(lo, mid, v["end"]))}
+
+    points = p.where("_one").select("contig", F.floor(F.col("lo") / F.lit(width)).cast("long").alias("_bin"), "lo", "hi")
+    spans = ranges.binned(once.where("contig is not null and start is not null and end is not null"), ("v_lo", "v_hi"), width, "_bin", "_first").drop("_first")
+    counted = counting.cogrouped(points, spans, ["contig", "_bin"], count, f"sv_id {dict(v.dtypes)['sv_id']}, n long")
+    few = F.broadcast(again.select("contig").distinct())
+    left = [(p.where("not _one"), once), (p.join(few, "contig", "left_semi"), again)]
+    met = [ranges.point_join(x.drop("_one"), y, ["contig"], "lo", ("v_lo", "v_hi"), width).select("sv_id", "qname", "lo", "hi", "start", "end") for x, y in left]
+    out = met[0].union(met[1]).where(~((F.col("lo") <= F.col("start")) & (F.col("hi") >= F.col("end"))))
+    named = out.groupBy("sv_id").agg(F.count_distinct("qname").alias("n"))
+    # A variant with no pair has no row; one whose pairs have no names has a row of 0.
+    return counted.where("n > 0").union(named).groupBy("sv_id").agg(F.sum("n").alias("n"))
 
 
 def support_columns(evidence: DataFrame, reads: DataFrame) -> DataFrame:
