@@ -19,6 +19,38 @@ from pyspark.sql.window import Window
 from .ranges import sessions
 
 
+class Tracks:
+    """Closed intervals in lanes of disjoint ones, each sorted, so that those which meet an interval are found by bisection."""
+
+    def __init__(self) -> None:
+        self.lanes: list[tuple[list, list, list]] = []
+        self.turned: list[tuple] = []  # start after end: looked through one by one
+
+    def meet(self, start, end) -> list[int]:
+        """The numbers of the intervals with a start up to end and an end from start on, rising."""
+        found = [k for s, e, k in self.turned if s <= end and e >= start]
+        for starts, ends, numbers in self.lanes:
+            lo, hi = bisect.bisect_left(ends, start), bisect.bisect_right(starts, end)
+            if lo < hi:
+                found += numbers[lo:hi]
+        return sorted(found)
+
+    def add(self, start, end, number: int) -> None:
+        if start > end:
+            self.turned.append((start, end, number))
+            return
+        for starts, ends, numbers in self.lanes:
+            at = bisect.bisect_left(ends, start)
+            if at >= bisect.bisect_right(starts, end):
+                break
+        else:
+            self.lanes.append(([], [], []))
+            (starts, ends, numbers), at = self.lanes[-1], 0
+        starts.insert(at, start)
+        ends.insert(at, end)
+        numbers.insert(at, number)
+
+
 def per_session(df: DataFrame, by: Sequence[str], start: str, end: str, gap: int, order: Sequence, use: Sequence[str], scan: Callable[..., list], name: str, kind: pa.DataType) -> DataFrame:
     """df with a column that scan gives: it gets the columns in use of one session as lists, sorted by order.
 

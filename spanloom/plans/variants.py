@@ -129,11 +129,13 @@ def resolve_overlaps(variants: DataFrame, haploid: Column | None = None) -> Data
     rows = variants.withColumns({"_key": predicates.unique_key(), "_cap": F.lit(2) if haploid is None else F.when(haploid, 1).otherwise(2), "_alts": predicates.alt_alleles()})
 
     def scan(start, end, key, cap, alts, epr, hopr, erefa) -> list[int]:
-        alts, out = list(alts), []
+        alts = list(alts)
+        taken = ordered.Tracks()
         for i in range(len(start)):
             if not alts[i]:
                 continue
-            over = [j for j in range(i) if alts[j] and start[j] <= end[i] and end[j] >= start[i]]
+            # Calls that have found room leave little for others, so few of them meet anywhere.
+            over = taken.meet(start[i], end[i])
             for j in over:
                 if not alts[i]:
                     break
@@ -156,10 +158,10 @@ def resolve_overlaps(variants: DataFrame, haploid: Column | None = None) -> Data
                     alts[i] = 0
                 elif most + alts[i] > cap[i]:
                     alts[i] = cap[i] - most
+            if alts[i]:
+                taken.add(start[i], end[i], i)
         return alts
 
-    import pyarrow as pa
-
     use = ["start", "end", "_key", "_cap", "_alts", "epr", "hopr", "erefa"]
     settled = ordered.per_session(rows, ["chr"], "start", "end", 0, [F.desc_nulls_last("epr"), "_key", "id"], use, scan, "_settled", pa.int64())
     gt = F.when(F.col("_settled") >= 2, F.array(F.lit(1), F.lit(1))).when(F.col("_settled") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(0)))
