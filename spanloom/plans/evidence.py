@@ -215,10 +215,11 @@ def read_overlaps(reads: DataFrame, k: int = 15, anchors: int = 2, least: int =
     """
     mers = reads.select("locus", "read", "target", F.posexplode(sequence.kmers(F.col("seq"), k)).alias("p", "kmer")).where(~F.col("kmer").rlike("[^ACGT]"))
     t = mers.where("target").select("locus", "kmer", F.col("read").alias("t"), F.col("p").alias("t_p"))
-    met = t.join(mers.select("locus", "kmer", "read", "p"), ["locus", "kmer"]).where("t <> read")
+    # Sizes are estimated from the table that reads are made of, many times too small: none of these is to be broadcast.
+    met = t.join(mers.select("locus", "kmer", "read", "p").hint("merge"), ["locus", "kmer"]).where("t <> read")
     found = met.groupBy("locus", "t", "read", (F.col("t_p") - F.col("p")).alias("offset")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= anchors)
     seqs = reads.select("locus", F.col("read").alias("t"), F.col("seq").alias("a")), reads.select("locus", "read", F.col("seq").alias("b"))
-    scored = found.join(seqs[0], ["locus", "t"]).join(seqs[1], ["locus", "read"]).withColumn("s", best_segment("a", "b", "offset")).where(F.col("s.end") - F.col("s.begin") >= least)
+    scored = found.join(seqs[0].hint("merge"), ["locus", "t"]).join(seqs[1].hint("merge"), ["locus", "read"]).withColumn("s", best_segment("a", "b", "offset")).where(F.col("s.end") - F.col("s.begin") >= least)
     w = Window.partitionBy("locus", "t", "read")
     ranked = scored.withColumns({"_r": F.row_number().over(w.orderBy(F.desc("s.score"), "offset")), "_n": F.count(F.lit(1)).over(w), "_next": F.lead("s.score").over(w.orderBy(F.desc("s.score"), "offset"))})
     best = ranked.where((F.col("_r") == 1) & ((F.col("_n") == 1) | (F.col("s.score") - F.col("_next") >= margin)))
