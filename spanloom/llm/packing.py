@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import tidy
+from .common import Scratch, tidy
 
 END = 2
 WINDOW = 4096
@@ -36,14 +36,19 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Stands between words that are encoded together: a control character, one token; words that hold it are encoded alone.
 BETWEEN = "\x01"
 TOGETHER = 256
-#: So many texts are split at a time.
+#: Marks of words that have come, a power of two.
+MARKS = 1 << 22
+#: So many texts are split at a time, and sent to a Python worker at a time: Spark holds a batch that it sends twice while it
+#: grows, and a worker holds two.
 TEXTS = 512
 
 
 class WordCache:
     """Token ids of texts, from remembered ids of their words. Beyond ``limit`` words the later half is forgotten.
 
-    The tokenizer drops white space and takes A-Z as a-z, so a text's ids are those of its words in turn.
+    The tokenizer drops white space and takes A-Z as a-z, so a text's ids are those of its words in turn. A word is remembered
+    when it comes in a second part of the texts: most words of a large input come once, and would fill the memory for nothing.
+    Marks tell which words have come; a mark that two words share makes one of them remembered at once, and no id depends on it.
     """
 
     def __init__(self, tokenizer_file: str, end: int = END, limit: int = 500_000):
@@ -52,25 +57,27 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        # Words come with A-Z as a-z and without white space, so there is nothing to normalise in plain ones.
-        self.plain = Tokenizer.from_file(tokenizer_file)
-        self.plain.encode_special_tokens = True
-        self.plain.normalizer = normalizers.Sequence([])
+        # Words come with A-Z as a-z and without white space, so there is nothing to normalise in plain ones. One tokenizer does
+        # both kinds in turn: a second one would hold the vocabulary again.
+        self.normal, self.plain = self.tokenizer.normalizer, normalizers.Sequence([])
         self.end, self.limit = end, limit
         self.between = np.array(self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids, np.uint32)
         self.number: dict[bytes, int] = {b"": 0}  # what leading and trailing white space leaves has no id
-        self.flat, self.first, self.count, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        # The words of number come first in the arrays, then those of the part at hand, which the next part overwrites.
+        self.flat, self.first, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+        self.marks = np.zeros(MARKS, bool)
 
     def _forget(self) -> None:
         """Keep the half that was learned first: common words come early."""
         kept = self.limit // 2
         self.number = {w: k for w, k in self.number.items() if k < kept}
         self.used = int(self.first[kept])
+        self.marks[:] = False
 
-    def _encoded(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of words, one after the other, and how many each has."""
         if len(words) > 1 and not any(BETWEEN in w for w in words):
-            ids = np.array(tokenizer.encode_batch_fast([f" {BETWEEN} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
             k = len(self.between)
             hit = np.ones(max(0, len(ids) - k + 1), bool)
             for j, x in enumerate(self.between):
@@ -80,35 +87,44 @@ class WordCache:
                 gone = (at[:, None] + np.arange(k)).ravel()
                 n = np.diff(np.concatenate(([-k], at, [len(ids)]))) - k
                 return np.delete(ids, gone), n
-        each = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each], np.int64)
 
-    def learn(self, new: list[bytes]) -> None:
-        for tokenizer, words in ((self.plain, [w for w in new if w.isascii()]), (self.tokenizer, [w for w in new if not w.isascii()])):
-            for k in range(0, len(words), TOGETHER):
-                part = words[k : k + TOGETHER]
-                self._keep(part, *self._encoded([w.decode("utf-8", "replace") for w in part], tokenizer))
-
-    def _keep(self, words: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
-        known, used = len(self.number), self.used
-        if used + len(ids) > len(self.flat):
-            self.flat = _room(self.flat, used + len(ids))
-        if known + len(words) > len(self.first):
-            self.first, self.count = _room(self.first, known + len(words)), _room(self.count, known + len(words))
-        self.flat[used : used + len(ids)] = ids
-        self.count[known : known + len(words)] = n
-        self.first[known : known + len(words)] = used + np.cumsum(n) - n
-        self.number.update(zip(words, range(known, known + len(words))))
-        self.used += len(ids)
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def learn(self, new: list[bytes], number: dict[bytes, int], known: int, used: int) -> tuple[int, int]:
+        """Put new words behind the first known ones and their used ids, number them, and tell how many there are then of both."""
+        for normalizer, words in ((self.plain, [w for w in new if w.isascii()]), (self.normal, [w for w in new if not w.isascii()])):
+            if not words:
+                continue
+            self.tokenizer.normalizer = normalizer
+            try:
+                for k in range(0, len(words), TOGETHER):
+                    part = words[k : k + TOGETHER]
+                    ids, n = self._encoded([w.decode("utf-8", "replace") for w in part])
+                    self.flat, self.first = _room(self.flat, used + len(ids)), _room(self.first, known + len(part))
+                    self.flat[used : used + len(ids)] = ids
+                    self.first[known : known + len(part)] = used + np.cumsum(n) - n
+                    number.update(zip(part, range(known, known + len(part))))
+                    known, used = known + len(part), used + len(ids)
+            finally:
+                self.tokenizer.normalizer = self.normal
+        return known, used
+
+    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, int, int]:
+        """The number of each word, and how many words and ids are in the arrays until the next call."""
         k = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(k < 0)
+        known, used = len(self.number), self.used
         if len(new):
             missing = [words[i] for i in new.tolist()]
-            self.learn(list(dict.fromkeys(missing)))
-            k[new] = np.fromiter(map(self.number.__getitem__, missing), np.int64, len(missing))
-        return k
+            different = list(dict.fromkeys(missing))
+            at = np.fromiter(map(hash, different), np.int64, len(different)) & (MARKS - 1)
+            came = self.marks[at]
+            self.marks[at] = True
+            known, self.used = self.learn([w for w, c in zip(different, came.tolist()) if c], self.number, known, used)
+            passing: dict[bytes, int] = {}
+            known, used = self.learn([w for w, c in zip(different, came.tolist()) if not c], passing, known, self.used)
+            k[new] = [passing[w] if w in passing else self.number[w] for w in missing]
+        return k, known, used
 
     def ids(self, text: str | None) -> np.ndarray:
         """The text's token ids and the end token, unsigned 32-bit."""
@@ -121,10 +137,11 @@ class WordCache:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
         ends_of = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
         coded = lists.flatten().dictionary_encode()
-        k = self.numbers(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        k, known, used = self.numbers(coded.dictionary.cast(pa.binary()).to_pylist())
+        k = k[coded.indices.to_numpy()]
         # Words lie one after the other in flat, so they are a list array, and a text is what its words' numbers take.
-        bounds = np.append(self.first[: len(self.number)], self.used).astype(np.int32)
-        taken = pa.ListArray.from_arrays(pa.array(bounds), pa.array(self.flat[: self.used])).take(pa.array(k))
+        bounds = np.append(self.first[:known], used).astype(np.int32)
+        taken = pa.ListArray.from_arrays(pa.array(bounds), pa.array(self.flat[:used])).take(pa.array(k))
         ids, at = taken.values.to_numpy(), taken.offsets.to_numpy()[ends_of].tolist()
         for a, b in zip(at[:-1], at[1:]):
             out = np.empty(b - a + 1, np.uint32)
@@ -280,9 +297,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, most_open: int | None = None) -> DataFrame:
-    """One row for each piece of a document (doc_id, text); no shuffle."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(_pack(tokenizer_file, window, most_open)), PIECES)
+def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, most_open: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """One row for each piece of a document (doc_id, text); no shuffle. The pieces are a table in the shared folder."""
+    scratch = scratch or Scratch(docs.sparkSession, "packing")
+    pieces = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(_pack(tokenizer_file, window, most_open)), PIECES)
+    return scratch.table(pieces, "pieces", batch=TEXTS)
 
 
 def public_tokenizer() -> str:

@@ -25,6 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Spark then deletes a query's shuffle files as soon as the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The most rows of a batch between Spark and Python.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Scratch:
@@ -36,16 +38,22 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """df, written and read again; its path is in the attribute scratch_path."""
+    def table(self, df: DataFrame, name: str = "t", batch: int | None = None) -> DataFrame:
+        """df, written and read again; its path is in the attribute scratch_path. batch: most rows that go to Python at a time."""
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        conf = {CLEANUP: "true"}
+        if batch:
+            most = int(self.spark.conf.get(BATCH))
+            conf[BATCH] = str(min(batch, most) if most > 0 else batch)
+        before = {k: self.spark.conf.get(k, None) for k in conf}
+        for k, v in conf.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

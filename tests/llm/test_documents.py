@@ -242,6 +242,33 @@ def test_remembered_words_give_the_tokenizer_s_ids():
         assert c.ids(t).tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids + [2]
 
 
+def test_words_that_come_once_are_not_remembered():
+    c = packing.WordCache(packing.public_tokenizer())
+    for k in range(3):
+        t = f"common Élan once{k} seul{k}é"
+        assert c.ids(t).tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids + [2]
+    assert set(c.number) <= {b"", b"common", "Élan".encode()} | {f"once{k}".encode() for k in range(3)} | {f"seul{k}é".encode() for k in range(3)}
+    assert len(c.number) < 6 and {b"common", "Élan".encode()} <= set(c.number)
+
+
+def test_texts_go_to_the_packing_worker_in_small_batches(spark, monkeypatch):
+    def sizes(*_):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())] * 7, names=[x.split()[0] for x in names])
+
+        return run
+
+    names, batch = packing.PIECES.split(", "), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(packing, "_pack", sizes)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "'some words' text")
+    got = [r.doc_id for r in packing.pack(docs, "").collect()]
+    assert sum(got) == 3000 and max(got) <= packing.TEXTS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+
+
 def test_the_level_chosen_has_the_smallest_sum_of_squares():
     r = np.random.default_rng(3)
     p = packing.Packer(16)
