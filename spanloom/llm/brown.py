@@ -20,10 +20,8 @@ the probability of such a word is the sum over classes, and what follows it is t
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +34,8 @@ from .common import Scratch, remainder, tidy
 #: No word holds a space, so this stands for the end of a text in the table of counts.
 END = b" "
 FLUSH = 300_000
-#: So many texts are scored at a time.
-SLICE = 500
+#: Texts are read and scored in slices of about so many bytes, a longer text by itself.
+SLICE = 4 << 20
 ADD = 0.5
 READ = "row long, token binary, at int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, path binary"
 PATHS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, path binary"
@@ -48,24 +46,25 @@ OPEN = 255
 class Words:
     """The words of some texts: Arrow splits them and numbers the different ones, so that each is looked up once.
 
-    words: the different ones; codes: their numbers in turn; of: the number of the text that each stands in.
+    words: the different ones, which stay in Arrow, as Python objects cost more than all else here; codes: their numbers in
+    turn; of: the number of the text that each stands in.
     """
 
     def __init__(self, texts: pa.Array):
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
         coded = lists.flatten().dictionary_encode()
         self.n = len(texts)
-        self.words: list[bytes] = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.words: pa.Array = coded.dictionary.cast(pa.binary())
         self.codes = coded.indices.to_numpy().astype(np.int64)
         self.of = np.repeat(np.arange(self.n), pc.list_value_length(lists).to_numpy())
-        if b"" in self.words:  # what white space at the ends of a text leaves
-            real = self.codes != self.words.index(b"")
+        if (empty := pc.index(self.words, pa.scalar(b"", pa.binary())).as_py()) >= 0:  # what white space at the ends of a text leaves
+            real = self.codes != empty
             self.codes, self.of = self.codes[real], self.of[real]
         self.sizes = np.bincount(self.of, minlength=self.n)
 
-    def numbers(self, number: dict[bytes, int]) -> np.ndarray:
-        """The number of each word in turn; -1 where it has none."""
-        return np.fromiter(map(number.get, self.words, repeat(-1)), np.int64, len(self.words))[self.codes]
+    def numbers(self, known: pa.Array) -> np.ndarray:
+        """The place of each word in turn among the known ones; -1 where it has none."""
+        return pc.index_in(self.words, value_set=known).fill_null(-1).to_numpy().astype(np.int64)[self.codes]
 
     def closed(self, values: np.ndarray, end: int) -> np.ndarray:
         """values in turn with end before the first text and after each one."""
@@ -76,31 +75,42 @@ class Words:
         return np.arange(len(self.codes)) + 1 + self.of
 
 
+def _slices(values: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where slices of values begin and how many values each holds."""
+    ends = np.cumsum(pc.binary_length(values).fill_null(0).to_numpy().astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(values)]
+    yield from ((a, z - a) for a, z in zip(cuts, cuts[1:]) if z > a)
+
+
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Batches in slices of some hundred texts, with their words."""
+    """Batches in slices of some texts, with their words."""
     for b in batches:
         texts = b.column("text").view(pa.string())
-        for k in range(0, b.num_rows, SLICE):
-            yield b.slice(k, SLICE), Words(texts.slice(k, SLICE))
+        for a, n in _slices(b.column("text")):
+            yield b.slice(a, n), Words(texts.slice(a, n))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    held, n = [], 0
 
-    def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
+    def summed() -> pa.Table:
+        got = pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")])
+        return pa.table({"token": got.column("token"), "n": got.column("n_sum")})
 
     for _, x in sliced(batches):
         times = np.bincount(x.codes, minlength=len(x.words))
-        for w, n in zip(x.words, times.tolist()):
-            if n:
-                seen[w] += n
-        seen[END] += x.n
-        if len(seen) > FLUSH:
-            yield told()
-            seen.clear()
-    if seen:
-        yield told()
+        at = np.flatnonzero(times)
+        held.append(pa.table({"token": x.words.take(pa.array(at)), "n": pa.array(times[at], pa.int64())}))
+        held.append(pa.table({"token": pa.array([END], pa.binary()), "n": pa.array([x.n], pa.int64())}))
+        n += len(at) + 1
+        if n > FLUSH * 4:
+            held = [summed()]
+            n = len(held[0])
+            if n > FLUSH:
+                yield from held[0].to_batches(max_chunksize=1 << 16)
+                held, n = [], 0
+    if held:
+        yield from summed().to_batches(max_chunksize=1 << 16)
 
 
 @dataclass
@@ -114,7 +124,7 @@ class Units:
     def __post_init__(self):
         self.rest, self.end = self.frequent, self.frequent + 1
         self.n = self.frequent + 2
-        self.number = {w: k for k, w in enumerate(self.words)}
+        self.known = pa.array(self.words, pa.binary())
 
     def of_numbers(self, k: np.ndarray) -> np.ndarray:
         """Units of words by their numbers."""
@@ -131,7 +141,7 @@ def _encode(units: Units, size: int = 1 << 20):
             return pa.RecordBatch.from_arrays([pa.array([np.concatenate([held[0][:1], *(x[1:] for x in held)]).tobytes()], pa.binary())], names=["units"])
 
         for _, x in sliced(batches):
-            held.append(x.closed(units.of_numbers(x.numbers(units.number)), units.end).astype(np.uint16))
+            held.append(x.closed(units.of_numbers(x.numbers(units.known)), units.end).astype(np.uint16))
             n += len(held[-1])
             if n >= size:
                 yield told()
@@ -249,7 +259,7 @@ def _beside(units: Units, class_of: np.ndarray, classes: int):
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         for _, x in sliced(batches):
-            k = x.numbers(units.number)
+            k = x.numbers(units.known)
             path = x.closed(class_of[units.of_numbers(k)], class_of[-1])
             place = x.places()
             before, after = path[place - 1], classes + path[place + 1]
@@ -262,7 +272,7 @@ def _beside(units: Units, class_of: np.ndarray, classes: int):
                 word, first = np.unique(x.codes[at], return_index=True)
                 pairs = np.stack((before[at], after[at]), axis=1).astype(np.int32).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.append(2 * first, len(pairs)).astype(np.int32)), pa.array(pairs))
-                cols = [*(pa.nulls(len(word), t) for t in kinds[:3]), pa.array(x.words, pa.binary()).take(pa.array(word)), lists]
+                cols = [*(pa.nulls(len(word), t) for t in kinds[:3]), x.words.take(pa.array(word)), lists]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
             if n > FLUSH * 4:
                 yield told()
@@ -339,7 +349,7 @@ def _read(m: Model):
         end_base, end_emit = (float(np.log10((counts[-1] + ADD) / x)) for x in (m.word_total, m.class_total[end]))
         kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
         for b, x in sliced(batches):
-            k = x.numbers(units.number)
+            k = x.numbers(units.known)
             known = k >= 0
             sums = lambda v: np.bincount(x.of[known], v[k[known]], x.n)  # noqa: B023, E731
             path = np.full(len(k), OPEN, np.uint8)
@@ -353,7 +363,7 @@ def _read(m: Model):
             main += [pa.array(sums(base_of) + end_base), pa.array(sums(emit_of) + end_emit), pa.array([path[a:z].tobytes() for a, z in zip(first.tolist(), ends.tolist())], pa.binary())]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(main, kinds)], names=[c.split()[0] for c in READ.split(", ")])
             if n:
-                words = pa.array(x.words, pa.binary()).take(pa.array(x.codes[other]))
+                words = x.words.take(pa.array(x.codes[other]))
                 more = [row.take(pa.array(x.of[other])), words, pa.array((other - first[x.of[other]]).astype(np.int32))] + [pa.nulls(n, t) for t in kinds[3:]]
                 yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(more, kinds)], names=[c.split()[0] for c in READ.split(", ")])
 
@@ -365,36 +375,40 @@ def _filled(m: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = {c: b.column(c).to_pylist() for c in ("n_known", "base", "emitted", "path")}
-            for i, x in enumerate(b.column("x")):
-                if x.is_valid and len(x.values):
-                    at, kind, n = (x.values.field(j).to_numpy(zero_copy_only=False) for j in range(3))
-                    order = np.argsort(at)  # sums don't depend on the order in which rows came
-                    at, kind, n = at[order], kind[order], n[order]
-                    path = np.frombuffer(cols["path"][i], np.uint8).copy()
-                    path[at] = kind
-                    cols["path"][i] = path.tobytes()
-                    seen = n > 0
-                    cols["n_known"][i] += int(seen.sum())
-                    cols["base"][i] += float(np.log10((n + ADD) / m.word_total).sum())
-                    cols["emitted"][i] += float(np.log10((n[seen] + ADD) / m.class_total[kind[seen]]).sum())
-            out = [b.column("doc_id"), b.column("held_out"), b.column("n_tokens"), pa.array(cols["n_known"], pa.int64()), pa.array(cols["base"], pa.float64()), pa.array(cols["emitted"], pa.float64()), pa.array(cols["path"], pa.binary())]
+            x, paths = b.column("x"), b.column("path")
+            of = np.repeat(np.arange(b.num_rows), pc.list_value_length(x).fill_null(0).to_numpy())
+            at, kind, n = (x.flatten().field(j).to_numpy(zero_copy_only=False) for j in range(3))
+            order = np.lexsort((at, of))  # sums don't depend on the order in which rows came
+            of, at, kind, n = of[order], at[order], kind[order], n[order]
+            starts = np.concatenate(([0], np.cumsum(pc.binary_length(paths).to_numpy()))).astype(np.int32)
+            flat = np.frombuffer(bytearray().join(paths.to_pylist()), np.uint8)
+            flat[starts[of] + at] = kind
+            path = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(starts), pa.py_buffer(flat)])
+            seen = n > 0
+            emit = np.log10((n[seen] + ADD) / m.class_total[kind[seen]])
+            n_known = b.column("n_known").to_numpy() + np.bincount(of[seen], minlength=b.num_rows)
+            base = b.column("base").to_numpy() + np.bincount(of, np.log10((n + ADD) / m.word_total), b.num_rows)
+            emitted = b.column("emitted").to_numpy() + np.bincount(of[seen], emit, b.num_rows)
+            out = [b.column("doc_id"), b.column("held_out"), b.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array(base), pa.array(emitted), path]
             yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in PATHS.split(", ")])
 
     return run
 
 
-def _steps(paths: list[bytes], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for p in paths:
-        x = np.concatenate(([end], np.frombuffer(p, np.uint8), [end])).astype(np.int64)
-        yield x[:-1], x[1:]
+def _steps(paths: pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By slices of paths: the classes that steps come from and go to, and where the steps of each path begin."""
+    for a, n in _slices(paths):
+        part = paths.slice(a, n)
+        stops = np.cumsum(pc.binary_length(part).to_numpy())
+        x = np.concatenate(([end], np.insert(np.frombuffer(b"".join(part.to_pylist()), np.uint8), stops, end)))
+        yield x[:-1], x[1:], np.concatenate(([0], stops[:-1] + np.arange(1, n)))
 
 
 def _bigrams(classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(classes * classes, np.int64)
         for b in batches:
-            for a, c in _steps(b.column("path").to_pylist(), classes - 1):
+            for a, c, _ in _steps(b.column("path"), classes - 1):
                 n += np.bincount(a * classes + c, minlength=classes * classes)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
@@ -405,8 +419,8 @@ def _bigrams(classes: int):
 def _score(move: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            moved = [float(move[a, c].sum()) for a, c in _steps(b.column("path").to_pylist(), len(move) - 1)]
-            score = pa.array(np.array(moved) + b.column("emitted").to_numpy(), pa.float64())
+            moved = [np.add.reduceat(move[a, c], starts) for a, c, starts in _steps(b.column("path"), len(move) - 1)]
+            score = pa.array(np.concatenate([np.zeros(0), *moved]) + b.column("emitted").to_numpy(), pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base")), score], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run

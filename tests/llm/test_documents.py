@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -454,6 +456,43 @@ def test_scores_against_plain_python(spark):
         assert min(abs(r.score - s) for r in got if r.doc_id == d) < 1e-9
 
 
+def test_words_of_texts_stay_in_arrow():
+    """Splitting and looking up makes no Python object for each different word: these were most of the CPU seconds."""
+    texts = pa.array([None, "", " lead tail\t", *(" ".join(f"Word{k}x{j}" for j in range(500)) for k in range(100)), "tail w\u00e9 lead"])
+    known = pa.array([b"tail", b"word7x9", b"unmet"], pa.binary())
+    before = sys.getallocatedblocks()
+    x = brown.Words(texts)
+    assert sys.getallocatedblocks() - before < 5_000
+    numbers = x.numbers(known)
+    assert sys.getallocatedblocks() - before < 5_000
+    want = [w for t in texts.to_pylist() for w in (t or "").encode().lower().split()]
+    assert x.words.take(pa.array(x.codes)).to_pylist() == want and x.sizes.tolist() == [len((t or "").split()) for t in texts.to_pylist()]
+    assert numbers.tolist() == [{b"tail": 0, b"word7x9": 1, b"unmet": 2}.get(w, -1) for w in want]
+
+
+def test_slices_change_no_counts_and_no_scores(monkeypatch):
+    r = np.random.default_rng(5)
+    words = [[f"w{k}" for k in r.integers(0, 30, r.integers(0, 9))] for _ in range(50)]
+    texts = pa.RecordBatch.from_pydict({"text": pa.array([None, *(" ".join(x).encode() for x in words)], pa.binary())})
+    paths = pa.array([b"", *(bytes(r.integers(0, 3, r.integers(0, 9)).tolist()) for _ in range(49)), b""], pa.binary())
+    move = r.random((4, 4))
+    cols = {"doc_id": range(51), "held_out": [False] * 51, "n_tokens": [1] * 51, "n_known": [1] * 51, "base": [0.0] * 51, "emitted": [0.5] * 51}
+    met = pa.RecordBatch.from_arrays([*map(pa.array, map(list, cols.values())), paths], names=[*cols, "path"])
+    steps = [list(zip([3, *p], [*p, 3])) for p in paths.to_pylist()]
+    for size in (1, 16, 1 << 20):
+        monkeypatch.setattr(brown, "SLICE", size)
+        monkeypatch.setattr(brown, "FLUSH", size)
+        count = Counter()
+        for b in brown._count(iter([texts])):
+            for x in b.to_pylist():
+                count[x["token"]] += x["n"]
+        assert count == Counter(w.encode() for x in words for w in x) + Counter({b" ": 51})
+        got = {x["cell"]: x["n"] for b in brown._bigrams(4)(iter([met])) for x in b.to_pylist()}
+        assert got == Counter(a * 4 + c for x in steps for a, c in x)
+        score = next(brown._score(move)(iter([met]))).column("score").to_pylist()
+        assert score == pytest.approx([0.5 + sum(move[a, c] for a, c in x) for x in steps])
+
+
 def test_move_and_emission_sum_to_one(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = docs.select(F.col("text").cast("binary").alias("text"))
