@@ -35,7 +35,7 @@ from .common import Scratch, remainder, tidy
 END = b" "
 FLUSH = 300_000
 #: Texts are read and scored in slices of about so many bytes, a longer text by itself.
-SLICE = 4 << 20
+SLICE = 2 << 20
 ADD = 0.5
 READ = "row long, token binary, at int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, path binary"
 PATHS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, emitted double, path binary"
@@ -103,7 +103,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(pa.table({"token": x.words.take(pa.array(at)), "n": pa.array(times[at], pa.int64())}))
         held.append(pa.table({"token": pa.array([END], pa.binary()), "n": pa.array([x.n], pa.int64())}))
         n += len(at) + 1
-        if n > FLUSH * 4:
+        if n > FLUSH * 2:
             held = [summed()]
             n = len(held[0])
             if n > FLUSH:
